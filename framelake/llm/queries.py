@@ -8,10 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash
+from . import decontaminate, mixing, quality, sharding, simhash, urls
 from .common import table
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.learned(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules).select("doc_id", *quality.COUNTS, "base_failed", "kept", "rule")
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    names = {"url_host": "host", "url_path": "path", "url_rule": "rule", "url_verdict": "verdict"}
+    return judged.select("page_id", *[F.col(a).alias(b) for a, b in names.items()])
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -21,6 +33,21 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.reshard(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontaminate.annotate(docs, table(spark, sf_dir, "benchmark"))
+    n_hit = decontaminate.hit_words()
+    return marked.select(
+        "doc_id",
+        F.col("_decon_words").alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size("_decon_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_decon_items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+        F.col("_decon_longest").alias("longest"),
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select(
@@ -72,8 +99,11 @@ SELECT doc_id, size, source_size, target, CAST(size * n AS BIGINT) AS taken, CAS
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_rules": op2_quality_rules,
+        "op3_url_filters": op3_url_filters,
         "op4_simhash": op4_simhash,
         "op5_sharding": op5_sharding,
+        "op8_decontamination": op8_decontamination,
         "op10_mixing": op10_mixing,
     }
 
