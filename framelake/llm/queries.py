@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding, simhash, urls
+from . import decontaminate, language, mixing, quality, sharding, simhash, urls
 from .common import table
 
 
@@ -33,6 +33,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.reshard(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.predict(docs, language.train(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontaminate.annotate(docs, table(spark, sf_dir, "benchmark"))
@@ -103,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filters": op3_url_filters,
         "op4_simhash": op4_simhash,
         "op5_sharding": op5_sharding,
+        "op6_language_id": op6_language_id,
         "op8_decontamination": op8_decontamination,
         "op10_mixing": op10_mixing,
     }
