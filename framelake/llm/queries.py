@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, quality, sharding, simhash, urls
+from . import decontaminate, html, language, mixing, quality, sharding, simhash, sites, urls
 from .common import table
 
 
@@ -39,6 +39,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return sites.classify(docs, sites.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontaminate.annotate(docs, table(spark, sf_dir, "benchmark"))
@@ -54,6 +59,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"), html.train())
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select(
@@ -110,7 +119,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op5_sharding": op5_sharding,
         "op6_language_id": op6_language_id,
+        "op7_quality_classifier": op7_quality_classifier,
         "op8_decontamination": op8_decontamination,
+        "op9_html_extraction": op9_html_extraction,
         "op10_mixing": op10_mixing,
     }
 
