@@ -8,10 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, language, mixing, quality, sharding, simhash, sites, urls
+from . import decontaminate, html, language, mixing, quality, sharding, simhash, sites, substring, urls
 from .common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(found: DataFrame) -> DataFrame:
+        return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+    return substring.dedup(table(spark, sf_dir, "documents"), project=digest)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality.learned(docs, table(spark, sf_dir, "labels"))
@@ -114,6 +121,7 @@ SELECT doc_id, size, source_size, target, CAST(size * n AS BIGINT) AS taken, CAS
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_quality_rules": op2_quality_rules,
         "op3_url_filters": op3_url_filters,
         "op4_simhash": op4_simhash,
