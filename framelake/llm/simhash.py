@@ -1,19 +1,28 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
-A text's fingerprint is 64 majority votes over the hashes of its shingles. Every
+A text's fingerprint is 64 majority votes over the hashes of its features. Every
 bit position gets a vector of ``radius + 1`` bits; table ``v`` compares the
 positions whose vector has an odd inner product with ``v``. The positions in
 which two fingerprints differ span at most ``radius`` dimensions, so some ``v``
 is orthogonal to all of them: within the radius, every pair meets in a table.
 
-Equal fingerprints become one class first. A table's bucket with more classes
-than ``BUCKET`` is dealt again by the same construction over the bits that the
-table leaves free; three such levels leave so few free bits that buckets are
-bounded by their number of distinct values. No bucket is cut short.
+Equal fingerprints become one class first. A bucket with more classes than
+``BUCKET`` is dealt again by masks of another assignment of vectors, joined to
+the bits already compared; the guarantee holds for these as well, and each level
+about halves the bits that are left free, so buckets shrink to a bounded number
+of distinct values. No bucket is cut short. Only links that connect a bucket's
+members leave it, fewer than it has members.
+
+Two kinds of features: word shingles (the contract of the query), or the distinct
+words with a 128-bit sketch of the five-word shingles. The latter serves the
+pipeline: changed words move few distinct-word votes, so a small radius finds
+candidates, and the sketch's differing bits tell whether their shingle
+similarity reaches the threshold.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,66 +37,94 @@ from .components import connected_components
 BITS = 64
 #: Classes that one task compares with each other.
 BUCKET = 512
+#: Levels of masks before a bucket is taken as it is; by then its classes agree in almost all bits.
+LEVELS = 6
 SEED = 42
 
 
+def _majority(hashes: np.ndarray) -> bytes:
+    """Bits set in over half of the hashes; ``hashes`` is uint8 of shape (n, bytes)."""
+    votes = np.zeros(hashes.shape[1] * 8, dtype=np.int64)
+    for start in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
+        votes += np.unpackbits(hashes[start : start + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > len(hashes)).tobytes()
+
+
+def _shingles(words: list[bytes], width: int):
+    if len(words) <= width:
+        return [b" ".join(words)]
+    return map(b" ".join, zip(*[words[i:] for i in range(width)]))
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _votes64(features, seed: int) -> int:
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(f, seed) for f in features), dtype=np.uint64).astype(">u8")
+    return int.from_bytes(_majority(hashes.view(np.uint8).reshape(-1, 8)), "big")
+
+
 def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
     """Majority bits over the XXH64 of all word shingles, repeats included.
 
     A-Z is lower-cased. Fewer words than ``width`` make one shingle of all; no
     word, or a null text, gives zero.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = _words(text)
+    return _votes64(_shingles(words, width), seed) if words else 0
+
+
+def word_fingerprint(text: str | None, width: int = 5, seed: int = SEED) -> tuple[int, int, int]:
+    """Majority bits over the distinct words, and a sketch of the word shingles in two
+    64-bit halves; zeros for a text without words."""
+    words = _words(text)
     if not words:
-        return 0
-    if len(words) <= width:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*[words[i:] for i in range(width)]))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, seed) for s in shingles), dtype=np.uint64)
-    votes = np.zeros(BITS, dtype=np.int64)
-    for start in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
-        some = hashes[start : start + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
-        votes += np.unpackbits(some, axis=1).sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * votes > len(hashes))
-    return int.from_bytes(bits.tobytes(), "big")
+        return 0, 0, 0
+    digest = xxhash.xxh3_128_digest
+    sketch = _majority(np.frombuffer(b"".join([digest(s, seed) for s in _shingles(words, width)]), np.uint8).reshape(-1, 16))
+    return _votes64(set(words), seed), int.from_bytes(sketch[:8], "big"), int.from_bytes(sketch[8:], "big")
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """``doc_id long, fp long`` (the fingerprint as a signed number) for every row."""
+def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, words: bool = False) -> DataFrame:
+    """``doc_id, fp, s0, s1`` (signed longs) for every row: shingle fingerprints with
+    empty sketches, or with ``words`` those of ``word_fingerprint``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [_signed(fingerprint(t.as_py(), width)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            texts = (t.as_py() for t in batch.column(1))
+            rows = [word_fingerprint(t, width) if words else (fingerprint(t, width), 0, 0) for t in texts]
+            parts = [pa.array([_signed(r[k]) for r in rows], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *parts], ["doc_id", "fp", "s0", "s1"])
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, fp long")
+    return chosen.mapInArrow(run, "doc_id long, fp long, s0 long, s1 long")
 
 
-def masks(radius: int, free: int = (1 << BITS) - 1) -> list[int]:
-    """The covering masks over the bit positions set in ``free``."""
-    places = [i for i in range(BITS) if free >> i & 1]
+def masks(radius: int, level: int = 0) -> list[int]:
+    """The covering masks; every level assigns the vectors to positions anew."""
     vectors = (1 << (radius + 1)) - 1
-    code = {p: i % vectors + 1 for i, p in enumerate(places)}
-    return [sum(1 << p for p in places if (code[p] & v).bit_count() & 1) for v in range(1, vectors + 1)]
+    turn, shift = (1, 29, 45, 11, 51, 23, 7, 37)[level % 8], 13 * level
+    code = [(i * turn + shift) % BITS % vectors + 1 for i in range(BITS)]
+    return [sum(1 << p for p in range(BITS) if (code[p] & v).bit_count() & 1) for v in range(1, vectors + 1)]
 
 
-def _spanning(radius: int):
+def _spanning(radius: int, sketch_bits: int):
     """Links that connect what lies within the radius, fewer than a bucket has members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = [], []
             for members in batch.column(0):
-                pairs = sorted((m["rep"].as_py(), m["fp"].as_py()) for m in members)
-                fps = np.array([fp for _, fp in pairs], dtype=np.int64).view(np.uint64)
-                parent = list(range(len(pairs)))
+                flat = members.values
+                table = np.array(sorted(zip(*[flat.field(n).to_pylist() for n in ("rep", "fp", "s0", "s1")])), dtype=np.int64)
+                rep, (fp, s0, s1) = table[:, 0], table[:, 1:].T.copy().view(np.uint64)
+                parent = list(range(len(rep)))
 
                 def top(i: int) -> int:
                     while parent[i] != i:
@@ -95,58 +132,47 @@ def _spanning(radius: int):
                         i = parent[i]
                     return i
 
-                for i in range(len(pairs)):
-                    near = np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= radius
-                    for j in np.flatnonzero(near) + i + 1:
-                        x, y = top(i), top(int(j))
+                for i in range(len(rep) - 1):
+                    near = np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= radius) + i + 1
+                    if len(near) and sketch_bits < 128:
+                        apart = np.bitwise_count(s0[near] ^ s0[i]).astype(int) + np.bitwise_count(s1[near] ^ s1[i])
+                        near = near[apart <= sketch_bits]
+                    for j in near.tolist():
+                        x, y = top(i), top(j)
                         if x != y:
                             parent[max(x, y)] = min(x, y)
-                            left.append(pairs[i][0])
-                            right.append(pairs[int(j)][0])
+                            left.append(int(rep[i]))
+                            right.append(int(rep[j]))
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return run
 
 
-def links(classes: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
-    """``a, b``: links between classes (``fp, rep``) that differ in ``radius`` bits at most,
-    enough of them to connect all that are connected."""
+def links(classes: DataFrame, radius: int, bucket: int = BUCKET, sketch_bits: int = 128) -> DataFrame:
+    """``a, b``: links between classes (``fp, rep, s0, s1``) that differ in ``radius`` bits
+    at most, and in ``sketch_bits`` of their sketches; enough to connect all that are
+    connected."""
     found = None
-    full = (1 << BITS) - 1
-    tables = {0: 0}  # table number: bits it compares
-    rows = classes.select(F.lit(0).alias("t"), "fp", "rep")
-    depth = 0
-    while True:
-        depth += 1
-        step = 1 << (radius + 1)
-        finer = {t * step + k + 1: (m, own) for t, own in tables.items() for k, m in enumerate(masks(radius, full & ~own))}
-        per_table = {}
-        for t2, (m, own) in finer.items():
-            per_table.setdefault((t2 - 1) // step, []).append((t2, _signed(m | own)))
-        # one row for each finer table of the row's table
-        choices = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).alias("m")) for t, m in [x for y in per_table.values() for x in y]])
-        if depth > 1:
-            choices = F.filter(choices, lambda c: F.floor((c["t"] - 1) / step) == F.col("t"))
-        dealt = rows.select("fp", "rep", F.explode(choices).alias("c")).select(
-            F.col("c.t").alias("t"), F.col("fp").bitwiseAND(F.col("c.m")).alias("key"), "fp", "rep"
+    rows = classes.select(F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("mask"), "fp", "rep", "s0", "s1")
+    for level in range(LEVELS):
+        choices = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(_signed(m)).alias("m")) for k, m in enumerate(masks(radius, level))])
+        dealt = rows.select("t", "mask", "fp", "rep", "s0", "s1", F.explode(choices).alias("c"))
+        mask = F.col("mask").bitwiseOR(F.col("c.m"))
+        dealt = dealt.select(
+            (F.col("t") * (1 << (radius + 1)) + F.col("c.k")).alias("t"), mask.alias("mask"),
+            F.col("fp").bitwiseAND(mask).alias("key"), "fp", "rep", "s0", "s1",
         )
         counts = dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-        shared = dealt.join(counts, ["t", "key"])
-        tables = {t: m | own for t, (m, own) in finer.items()}
-        widest = max(BITS - x.bit_count() for x in tables.values())
-        last = widest <= 9  # at most 512 distinct values
-        if not last:
-            shared = staged(shared, f"simhash-level{depth}")
-        small = shared if last else shared.where(F.col("n") <= bucket)
-        groups = small.groupBy("t", "key").agg(F.collect_list(F.struct("fp", "rep")).alias("members"))
-        some = groups.select("members").mapInArrow(_spanning(radius), "a long, b long")
+        shared = staged(dealt.join(counts, ["t", "key"]), f"simhash-level{level}")
+        small = shared if level == LEVELS - 1 else shared.where(F.col("n") <= bucket)
+        groups = small.groupBy("t", "key").agg(F.collect_list(F.struct("fp", "rep", "s0", "s1")).alias("members"))
+        some = groups.select("members").mapInArrow(_spanning(radius, sketch_bits), "a long, b long")
         found = some if found is None else found.unionByName(some)
-        if last:
-            return found
         large = shared.where(F.col("n") > bucket)
-        if large.isEmpty():
-            return found
-        rows = large.select("t", "fp", "rep").distinct()
+        if level == LEVELS - 1 or large.isEmpty():
+            break
+        rows = large.select("t", "mask", "fp", "rep", "s0", "s1")
+    return found
 
 
 def near_duplicates(
@@ -156,22 +182,42 @@ def near_duplicates(
     text: str = "text",
     width: int = 3,
     radius: int = 2,
+    similarity: float | None = None,
 ) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs``.
 
     Documents link when their fingerprints differ in ``radius`` bits at most;
-    ``component_id`` is the smallest id reachable. Null and empty texts have
-    fingerprint zero and link like others; repeated rows come out as often as
-    they go in; a row without an id keeps the component of its fingerprint.
+    ``component_id`` is the smallest id reachable. With ``similarity``,
+    fingerprints are those of distinct words, and classes also need sketches of
+    ``width``-word shingles that tell of a similarity (shared over all shingles)
+    of at least that. Null and empty texts have fingerprint zero and link like
+    others; repeated rows come out as often as they go in; a row without an id
+    keeps the component of its fingerprint.
     """
-    prints = staged(fingerprints(docs, doc_id=doc_id, text=text, width=width), "fingerprints")
-    return component_ids(prints, radius)
-
-
-def component_ids(prints: DataFrame, radius: int) -> DataFrame:
-    """``doc_id, fp, component_id`` from ``doc_id, fp``."""
-    classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    near = links(classes.where("rep is not null"), radius)
+    words = similarity is not None
+    prints = staged(fingerprints(docs, doc_id=doc_id, text=text, width=width, words=words), "fingerprints")
+    # share s of all shingles in two texts of like length: a cosine of 2s / (1 + s)
+    bits = round(128 * math.acos(2 * similarity / (1 + similarity)) / math.pi) if words else 128
+    return component_ids(prints, radius, bits)
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One document of each group (the one with the smallest id), with its own columns.
+
+    Of rows that share that id, those with the same text are one document and the
+    first stays; rows without an id stay."""
+    found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
+    kept = docs.join(stay, F.col(doc_id).cast("long") == F.col("_stay"), "left_semi")
+    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+
+
+def component_ids(prints: DataFrame, radius: int, sketch_bits: int = 128) -> DataFrame:
+    """``doc_id, fp, component_id`` from ``doc_id, fp, s0, s1``. A class has the sketch of
+    its smallest id."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "s0", "s1")).alias("m")
+    classes = staged(prints.groupBy("fp").agg(first).select("fp", F.col("m.doc_id").alias("rep"), "m.s0", "m.s1"), "classes")
+    near = links(classes.where("rep is not null"), radius, sketch_bits=sketch_bits)
     roots = connected_components(near)
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("fp", F.coalesce("root", "rep").alias("component_id"))
