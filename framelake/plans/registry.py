@@ -24,9 +24,23 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    """Import the modules that register queries."""
+    import importlib
+    import pkgutil
+
+    import framelake.plans as plans
+
+    for found in pkgutil.iter_modules(plans.__path__):
+        if found.name.startswith("q_"):
+            importlib.import_module(f"framelake.plans.{found.name}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
