@@ -106,6 +106,7 @@ def window_hashes(texts: list[bytes], powers: _Powers) -> tuple[np.ndarray, np.n
         step = min(width, WINDOW - INNER + 1 - width)
         key = np.minimum(key[:-step], key[step:])
         width += step
+    key = _mix(key)  # minima crowd near zero; buckets are ranges of keys
     check = _rolled(word, at[:n], at[:n] + WINDOW, _WINDOW_BASE, powers) & _U((1 << 48) - 1)
     begins = np.searchsorted(text, np.arange(len(texts)))  # first word of each text
     inside = np.flatnonzero(text[:n] == text[WINDOW - 1 :])
