@@ -34,7 +34,7 @@ WINDOW = 20
 #: Words of the inner sequences whose least hash is a window's key.
 INNER = 10
 #: Words that a mapper holds before it sends their windows on.
-SEGMENT_WORDS = 1_000_000
+SEGMENT_WORDS = 500_000
 #: At least so many batches, and at most so many bytes of text in one.
 BATCHES, BATCH_BYTES = 4, 1 << 40
 BUCKETS = 256
