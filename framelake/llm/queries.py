@@ -62,7 +62,6 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("_decon_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("_decon_items", ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
-        F.col("_decon_longest").alias("longest"),
     )
 
 
@@ -119,6 +118,51 @@ SELECT doc_id, size, source_size, target, CAST(size * n AS BIGINT) AS taken, CAS
 """
 
 
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS n FROM s),
+c AS (SELECT DISTINCT doc_id, i + j AS i FROM k, (SELECT unnest(range(0, 20)) AS j) WHERE n > 1),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+r AS (SELECT p.doc_id, count(c.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p.i) FILTER (WHERE c.i IS NULL), '') AS kept
+      FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.i = c.i GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+OP3_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+         CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') ELSE '' END AS path FROM pages),
+q AS (SELECT page_id, url, coalesce(host, '') AS host, coalesce(path, '') AS path FROM p),
+r(v, h, t) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+m AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(h || t) DESC) AS k
+      FROM q LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, t))
+SELECT page_id, host, path, h || t AS rule,
+       CASE WHEN v IS NOT NULL THEN v
+            WHEN regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9])(spam[^a-z0-9]farm|cheap[^a-z0-9]pills|casino|porn|xxx|viagra|cialis|betting|poker|warez|phishing|malware|escort|lottery)([^a-z0-9]|$)')
+              OR regexp_matches(lower(coalesce(url, '')), '[?&]affiliate=|/wp-login\.php([^a-z0-9]|$)') THEN 'block'
+            ELSE 'allow' END AS verdict
+FROM m WHERE k = 1
+"""
+
+OP8_SQL = r"""
+WITH low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS k
+       FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+ln AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ln WHERE len(w) >= n)),
+h AS (SELECT doc_id, i, dw.n AS n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.k = bw.k),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS items FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -135,4 +179,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": OP10_SQL}
+    return {
+        "op1_substring_dedup": OP1_SQL,
+        "op3_url_filters": OP3_SQL,
+        "op8_decontamination": OP8_SQL,
+        "op10_mixing": OP10_SQL,
+    }

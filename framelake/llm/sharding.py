@@ -23,7 +23,7 @@ from .common import text_or_empty
 #: Size classes to a doubling of the size.
 CLASSES = 4
 #: Rows that one task ranks together, about.
-SLICE_ROWS = 4_000
+SLICE_ROWS = 1_000
 
 
 def solve_flow(blocks: list[tuple[int, int, int, int]], capacity: list[int]) -> dict[tuple[int, int], list[tuple[int, int]]]:

@@ -66,7 +66,7 @@ PATTERN_RULES = [
         for w in ("casino", "porn", "xxx", "viagra", "cialis", "betting", "poker", "warez", "phishing", "malware", "escort", "lottery")
     ],
     PatternRule("block", r"(?i)[?&]affiliate=", ("affiliate",)),
-    PatternRule("block", r"(?i)/wp-login\.php", ("wp", "login", "php")),
+    PatternRule("block", r"(?i)/wp-login\.php(?![a-z0-9])", ("wp", "login", "php")),
 ]
 
 
