@@ -22,6 +22,9 @@ SPACE = r"[\x20\x09-\x0D]"
 #: One word, as a regular expression (fixed value).
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of text in an Arrow batch.
+ARROW_ROWS = 500
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -63,6 +66,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers a few hundred at a time: rows here are texts of
+    kilobytes, and Spark's default of 10,000 rows makes batches of tens of megabytes
+    on both sides. The setting is read when the query runs, so it stays set."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 # Elements of HTML by kind.
@@ -381,6 +383,7 @@ def extract(pages: DataFrame, model: Chain, *, page_id: str = "page_id", url: st
                     ["page_id", "url", "text", "n_chars"],
                 )
 
+    small_batches(pages.sparkSession)
     kind = pages.schema[page_id].dataType.simpleString()
     chosen = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     return chosen.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

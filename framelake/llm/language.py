@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Longest context in bytes.
 ORDER = 3
 #: Bounds of the training sample, for each language.
@@ -166,6 +168,7 @@ def predict(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
                 ["doc_id", "lang_pred", "score"],
             )
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return chosen.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")

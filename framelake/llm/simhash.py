@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_batches, staged
 from .components import connected_components
 
 BITS = 64
@@ -102,6 +102,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             parts = [pa.array([_signed(r[k]) for r in rows], pa.int64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *parts], ["doc_id", "fp", "s0", "s1"])
 
+    small_batches(docs.sparkSession)
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return chosen.mapInArrow(run, "doc_id long, fp long, s0 long, s1 long")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_batches, staged
 
 #: Labelled rows that the document model is fitted on, at most.
 FIT_ROWS = 4_000
@@ -132,6 +132,7 @@ def classify(docs: DataFrame, model: LogisticModel, *, doc_id: str = "doc_id", t
     an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_staged, staged
+from .common import drop_staged, small_batches, staged
 
 WINDOW = 20
 #: Words of the inner sequences whose least hash is a window's key.
@@ -341,6 +341,7 @@ def dedup_batch(docs: DataFrame, index: Index, *, doc_id: str = "doc_id", text:
     new windows become a run of the index. Also returns the staged tables that
     the result reads; drop them when it has been written.
     """
+    small_batches(docs.sparkSession)
     rows = _identified(docs, doc_id, text)
     windows = rows.select("order", "print", "text").mapInArrow(_mapper(index.buckets), _SCHEMA)
     history = index.rows()
