@@ -106,9 +106,8 @@ def ranked(df: DataFrame, order: list[Column], name: str, out: str = "rank") ->
     No task holds all rows: rows are dealt by range, each part is numbered by
     itself, and the parts' row counts (one number a part) give the offsets.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    # without a number of parts, small tables come in few parts and files
+    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     dealt = staged(dealt, name)
     counts = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
     offsets, total = [], 0
