@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import codecs
 
@@ -113,7 +112,7 @@ def read_catalog(spark: SparkSession, path: str, schema: str = CATALOG) -> DataF
     return spark.read.csv(path, header=True, schema=schema, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).where("ra IS NOT NULL AND dec IS NOT NULL")
 
 
-CURVES = T.StructType.fromDDL(
+CURVES = (
     "model string, name string, type string, channel string, dataQualityMarker int, version int, "
     "wavelength struct<value: array<double>, units: string>, `values` struct<value: array<double>, range: double>")
 
