@@ -93,3 +93,71 @@ def histogram(df: DataFrame, bins: int, by: tuple[str, ...] = ("c",)) -> DataFra
     """Counts by bin = floor(clamp(v) * (bins - 1) + 0.5)."""
     v = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("v")))
     return df.groupBy(*by, F.floor(v * (bins - 1) + 0.5).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def _grouped_numbers(df: DataFrame, by: list[str], fn, names: list[str]) -> DataFrame:
+    """``by`` and the numbers that ``fn`` makes of each group's values; a group must fit a task."""
+    import numpy as np
+    import pyarrow as pa
+
+    lists = df.where("v IS NOT NULL").groupBy(*by).agg(F.collect_list("v").alias("vs"))
+    kinds = ", ".join(f"{k} {lists.schema[k].dataType.simpleString()}" for k in by)
+
+    def run(batches):
+        for batch in batches:
+            got = [fn(np.sort(np.array(v.as_py(), float))) for v in batch.column(len(by))]
+            cols = [pa.array([g[k] for g in got], pa.float64()) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], *cols], [*by, *names])
+
+    return lists.mapInArrow(run, f"{kinds}, " + ", ".join(f"{n} double" for n in names))
+
+
+def huber(values) -> tuple[float, float]:
+    """Location and scale by at most ten steps of Huber weights (1.5 scales), from median and 1.4826 MAD."""
+    import numpy as np
+
+    loc = float(np.median(values))
+    scale = max(1.4826 * float(np.median(np.abs(values - loc))), 1e-10)
+    for _ in range(10):
+        z = np.abs(values - loc) / scale
+        w = np.where(z < 1.5, 1.0, 1.5 / np.maximum(z, 1e-300))
+        new = float((w * values).sum() / w.sum())
+        z = np.abs(values - new) / scale
+        w2 = np.where(z < 1.5, 1.0, 1.5 / np.maximum(z, 1e-300))
+        spread = max(float(np.sqrt((w2 * (values - new) ** 2).sum() / w.sum())), 1e-10)
+        done = abs(new - loc) < 1e-4 * scale and abs(spread - scale) < 1e-4 * scale
+        loc, scale = new, spread
+        if done:
+            break
+    return loc, scale
+
+
+def ikss_huber(df: DataFrame, by: list[str]) -> DataFrame:
+    return _grouped_numbers(df, by, huber, ["location", "scale"])
+
+
+def hampel(values) -> tuple[float]:
+    """Location by Newton steps of Hampel's three-part influence function (1.7, 3.4, 8.5)."""
+    import numpy as np
+
+    a, b, c = 1.7, 3.4, 8.5
+    loc = float(values[len(values) // 2])
+    scale = float(np.sort(np.abs(values - loc))[len(values) // 2]) / 0.6745
+    if scale < 1e-10:
+        return (loc,)
+    for _ in range(50):
+        r = (values - loc) / scale
+        x = np.abs(r)
+        psi = np.sign(r) * np.where(x < a, x, np.where(x < b, a, np.where(x < c, a * (c - x) / (c - b), 0.0)))
+        slope = np.where(x < a, 1.0, np.where(x < b, 0.0, np.where(x < c, a / (b - c), 0.0))).sum()
+        if abs(slope) < 1e-10:
+            break
+        step = scale * psi.sum() / slope
+        loc += step
+        if abs(step) < 1e-6 * scale:
+            break
+    return (float(loc),)
+
+
+def hampel_mean(df: DataFrame, by: list[str]) -> DataFrame:
+    return _grouped_numbers(df, by, hampel, ["mean"])
