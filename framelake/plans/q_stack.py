@@ -23,8 +23,9 @@ for _m, _sql in {
     query(f"stack_{_m}", f"WITH {PX} SELECT x, y, c, round({_sql}, 9) AS v FROM px GROUP BY x, y, c")(
         lambda spark, d, m=_m: rounded(stacking.stack(views.px(spark, d), m), "v")
     )
-    query(f"depth_{_m}", f"WITH {DEPTH} SELECT pixel, round({_sql}, 9) AS v FROM depth GROUP BY pixel")(
-        lambda spark, d, m=_m: rounded(stacking.stack(views.depth(spark, d), m, ("pixel",)), "v")
+    _digits = 12 if _m in ("max", "min") else 9  # quotients of prices can end in a half at the tenth digit
+    query(f"depth_{_m}", f"WITH {DEPTH} SELECT pixel, round({_sql}, {_digits}) AS v FROM depth GROUP BY pixel")(
+        lambda spark, d, m=_m, n=_digits: rounded(stacking.stack(views.depth(spark, d), m, ("pixel",)), "v", digits=n)
     )
 
 
