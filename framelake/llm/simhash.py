@@ -35,8 +35,8 @@ from .common import small_batches, staged
 from .components import connected_components
 
 BITS = 64
-#: Classes that one task compares with each other.
-BUCKET = 512
+#: Classes that one task compares with each other (some hundred kilobytes).
+BUCKET = 8_192
 #: Levels of masks before a bucket is taken as it is; by then its classes agree in almost all bits.
 LEVELS = 6
 SEED = 42
@@ -125,25 +125,22 @@ def _spanning(radius: int, sketch_bits: int):
                 flat = members.values
                 table = np.array(sorted(zip(*[flat.field(n).to_pylist() for n in ("rep", "fp", "s0", "s1")])), dtype=np.int64)
                 rep, (fp, s0, s1) = table[:, 0], table[:, 1:].T.copy().view(np.uint64)
-                parent = list(range(len(rep)))
-
-                def top(i: int) -> int:
-                    while parent[i] != i:
-                        parent[i] = parent[parent[i]]
-                        i = parent[i]
-                    return i
-
+                group = np.arange(len(rep))
+                groups = len(rep)
                 for i in range(len(rep) - 1):
-                    near = np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= radius) + i + 1
+                    if groups == 1:
+                        break
+                    near = np.flatnonzero((np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= radius) & (group[i + 1 :] != group[i])) + i + 1
                     if len(near) and sketch_bits < 128:
                         apart = np.bitwise_count(s0[near] ^ s0[i]).astype(int) + np.bitwise_count(s1[near] ^ s1[i])
                         near = near[apart <= sketch_bits]
-                    for j in near.tolist():
-                        x, y = top(i), top(j)
-                        if x != y:
-                            parent[max(x, y)] = min(x, y)
-                            left.append(int(rep[i]))
-                            right.append(int(rep[j]))
+                    while len(near):
+                        j = near[0]
+                        left.append(int(rep[i]))
+                        right.append(int(rep[j]))
+                        group[group == group[j]] = group[i]
+                        groups -= 1
+                        near = near[group[near] != group[i]]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return run
