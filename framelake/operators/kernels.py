@@ -491,3 +491,34 @@ def hdr_wavescale(px: DataFrame, scales: int = 2, compression: float = 1.5, gamm
         return np.clip(out * upper(lum) / (m1 if m1 > 1e-5 else 1.0), 0, 100) / 100
 
     return per_frame(px, fn)
+
+
+#: Colours of the six-by-six filter array (0 green, 1 red, 2 blue), by rows: fixed values.
+SIX = ((0, 1, 0, 0, 2, 0), (1, 0, 1, 2, 0, 2), (0, 1, 0, 0, 2, 0), (0, 2, 0, 0, 1, 0), (2, 0, 2, 1, 0, 1), (0, 2, 0, 0, 1, 0))
+
+
+def six_site(x: Column, y: Column) -> Column:
+    """Colour number of a position of the six-by-six array."""
+    table = F.array(*[F.lit(c) for row in SIX for c in row])
+    return F.get(table, (F.pmod(y, F.lit(6)) * 6 + F.pmod(x, F.lit(6))).cast("int"))
+
+
+def demosaic_six(px: DataFrame) -> DataFrame:
+    """``r, g, b`` of a six-by-six filter array: the mean of same-colour sites within two
+    pixels, own values kept; the window always holds all three colours inside a frame."""
+    g = grid(px, 2)
+    cells = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3)]
+    out = {}
+    for code, name in ((1, "r"), (0, "g"), (2, "b")):
+        same = [F.when(six_site(F.col("x") + dx, F.col("y") + dy) == code, at(dx, dy, 2)) for dx, dy in cells]
+        out[name] = F.when(six_site(F.col("x"), F.col("y")) == code, F.col("v")).otherwise(mean_of(same))
+    return g.select("frame_id", "x", "y", *[c.alias(n) for n, c in out.items()])
+
+
+def six_equalize(px: DataFrame) -> DataFrame:
+    """Red and blue of a six-by-six array scaled to green by the mean of cell means."""
+    s = px.withColumn("s", six_site(F.col("x"), F.col("y")))
+    cell = s.groupBy(*KEYS, "s", (F.col("x") % 6).alias("i"), (F.col("y") % 6).alias("j")).agg(F.avg("v").alias("m"))
+    m = cell.groupBy(*KEYS).agg(*[F.avg(F.when(F.col("s") == k, F.col("m"))).alias(n) for k, n in enumerate(("mg", "mr", "mb"))])
+    f = F.when((F.col("s") == 1) & (F.col("mr") > 1e-9), F.col("mg") / F.col("mr")).when((F.col("s") == 2) & (F.col("mb") > 1e-9), F.col("mg") / F.col("mb")).otherwise(1.0)
+    return s.join(m, KEYS).withColumn("v", F.col("v") * f).drop("s", "mr", "mg", "mb")

@@ -302,3 +302,20 @@ def psf_fit(spark, d):
     w = math.pi / 40
     img = field(spark, d).withColumn("v", F.col("v") * 0.01 + F.exp(-(F.pow(F.sin(F.col("x") * w), 2) + F.pow(F.sin(F.col("y") * w), 2)) * 60))
     return fitting.psf(img, 4, 6.0)
+
+
+SIX = "six(k, s) AS (VALUES " + ", ".join(f"({6 * j + i}, {c})" for j, row in enumerate(kernels.SIX) for i, c in enumerate(row)) + "), s6 AS (SELECT px.*, s FROM px JOIN six ON k = (y % 6) * 6 + x % 6)"
+
+
+@query("debayer_six", f"""WITH {PX}, {SIX}, n AS (SELECT a.frame_id, a.x, a.y, a.v, a.s, """ + ", ".join(f"coalesce(avg(b.v) FILTER (WHERE b.s = {k}), 0) AS {n}" for k, n in ((1, "r"), (0, "g"), (2, "b"))) + """
+FROM s6 a JOIN s6 b ON a.frame_id = b.frame_id AND b.x BETWEEN a.x - 2 AND a.x + 2 AND b.y BETWEEN a.y - 2 AND a.y + 2 GROUP BY 1, 2, 3, 4, 5)
+SELECT frame_id, x, y, round(CASE WHEN s = 1 THEN v ELSE r END, 9) AS r, round(CASE WHEN s = 0 THEN v ELSE g END, 9) AS g, round(CASE WHEN s = 2 THEN v ELSE b END, 9) AS b FROM n""")
+def debayer_six(spark, d):
+    return rounded(kernels.demosaic_six(views.px(spark, d)), *"rgb")
+
+
+@query("six_equalize", f"""WITH {PX}, {SIX}, c0 AS (SELECT frame_id, s, x % 6 AS i, y % 6 AS j, avg(v) AS m FROM s6 GROUP BY 1, 2, 3, 4),
+m AS (SELECT frame_id, avg(m) FILTER (WHERE s = 0) AS mg, avg(m) FILTER (WHERE s = 1) AS mr, avg(m) FILTER (WHERE s = 2) AS mb FROM c0 GROUP BY frame_id)
+SELECT frame_id, x, y, round(v * CASE WHEN s = 1 AND mr > 1e-9 THEN mg / mr WHEN s = 2 AND mb > 1e-9 THEN mg / mb ELSE 1 END, 9) AS v FROM s6 JOIN m USING (frame_id)""")
+def six_equalize(spark, d):
+    return rounded(kernels.six_equalize(views.px(spark, d)), "v")
