@@ -506,13 +506,17 @@ def six_site(x: Column, y: Column) -> Column:
 def demosaic_six(px: DataFrame) -> DataFrame:
     """``r, g, b`` of a six-by-six filter array: the mean of same-colour sites within two
     pixels, own values kept; the window always holds all three colours inside a frame."""
-    g = grid(px, 2)
-    cells = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3)]
-    out = {}
-    for code, name in ((1, "r"), (0, "g"), (2, "b")):
-        same = [F.when(six_site(F.col("x") + dx, F.col("y") + dy) == code, at(dx, dy, 2)) for dx, dy in cells]
-        out[name] = F.when(six_site(F.col("x"), F.col("y")) == code, F.col("v")).otherwise(mean_of(same))
-    return g.select("frame_id", "x", "y", *[c.alias(n) for n, c in out.items()])
+    s = six_site(F.col("x"), F.col("y"))
+    df = px.withColumn("s", s)
+    names = {1: "r", 0: "g", 2: "b"}
+    for code, name in names.items():
+        own = F.col("s") == code
+        df = df.withColumns({f"t{name}": F.when(own, F.col("v")).otherwise(0.0), f"n{name}": own.cast("int")})
+    for by in ("y", "x"):  # sums of five along rows, then of five along columns
+        w = _row(by).rowsBetween(-2, 2)
+        df = df.withColumns({c + name: F.sum(c + name).over(w) for c in "tn" for name in names.values()})
+    out = [F.when(F.col("s") == code, F.col("v")).when(F.col(f"n{n}") > 0, F.col(f"t{n}") / F.col(f"n{n}")).otherwise(0.0).alias(n) for code, n in names.items()]
+    return df.select("frame_id", "x", "y", *out)
 
 
 def six_equalize(px: DataFrame) -> DataFrame:
