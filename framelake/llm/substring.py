@@ -35,6 +35,8 @@ WINDOW = 20
 INNER = 10
 #: Words that a mapper holds before it sends their windows on.
 SEGMENT_WORDS = 500_000
+#: Bytes of text that are hashed into words together.
+PIECE = 1 << 21
 #: At least so many batches, and at most so many bytes of text in one.
 BATCHES, BATCH_BYTES = 4, 1 << 40
 BUCKETS = 256
@@ -86,17 +88,35 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BYTE = _mix(np.arange(1, 257, dtype=_U))
 
 
+def _pieces(whole: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about PIECE bytes that end after white space, so that no word is cut:
+    arrays of a number a byte stay small however long a text is."""
+    at = 0
+    while at < len(whole):
+        stop = min(at + PIECE, len(whole))
+        while stop < len(whole) and not _SPACE[whole[stop - 1]]:
+            near = np.flatnonzero(_SPACE[whole[stop : stop + PIECE]])
+            stop = stop + int(near[0]) + 1 if len(near) else min(stop + PIECE, len(whole))
+        yield at, stop
+        at = stop
+
+
+def _words(piece: np.ndarray, offset: int, powers: _Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the words of a piece, which ends with white space."""
+    edge = np.diff(np.concatenate([[True], _SPACE[piece]]).astype(np.int8))
+    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    return first + offset, _rolled(_BYTE[piece], first, last, _BASE, powers) + (last - first).astype(_U)
+
+
 def window_hashes(texts: list[bytes], powers: _Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Key, check, text number and start word of every window of the texts."""
     whole = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    space = _SPACE[whole]
-    edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
-    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    parts = [_words(whole[a:b], a, powers) for a, b in _pieces(whole)]
+    first, word = (np.concatenate([p[k] for p in parts]) for k in range(2))
     none = np.empty(0, dtype=np.int64)
     if len(first) < WINDOW:
         return none.astype(_U), none.astype(_U), none, none
-    word = _rolled(_BYTE[whole], first, last, _BASE, powers) + (last - first).astype(_U)
     text = np.searchsorted(ends, first, side="right")
     n = len(first) - WINDOW + 1
     at = np.arange(len(first) - INNER + 1)

@@ -76,6 +76,17 @@ def test_substring_compacts_and_is_incremental(docs, rows):
     assert many == one
 
 
+def test_substring_pieces(monkeypatch):
+    """Hashing in small pieces gives the hashes of the whole, with words longer than a piece."""
+    rng = random.Random(3)
+    texts = [sentence(rng, 200).encode(), b"", b" \n ", ("x" * 300 + " " + sentence(rng, 40) + " " + "y" * 500).encode(), b"z" * 700]
+    whole = substring.window_hashes(texts, substring._Powers())
+    monkeypatch.setattr(substring, "PIECE", 64)
+    parts = substring.window_hashes(texts, substring._Powers())
+    assert len(whole[0]) == 181 + 23 and all((a == b).all() for a, b in zip(whole, parts))
+    assert len(substring.window_hashes([b""], substring._Powers())[0]) == 0
+
+
 def test_substring_packing():
     rng = np.random.default_rng(1)
     key, check = np.sort(rng.integers(0, 50, 300).astype(np.uint64)), rng.integers(0, 1 << 48, 300).astype(np.uint64)
