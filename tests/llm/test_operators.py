@@ -243,6 +243,8 @@ def test_near_copies(spark):
     data = [(i, t) for i, t in enumerate(texts + near + [texts[0]])] + [(None, "x"), (None, "x")]
     kept = simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string"), width=5, radius=5, similarity=0.8)
     assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in kept.collect()) == [-1, -1, *range(12)]
+    again = spark.createDataFrame(data + data[:3], "doc_id long, text string")
+    assert simhash.keep_one(again, width=5, radius=5, similarity=0.8).count() == 14
 
 
 def check_rows_law(placed, n, shards=24):
