@@ -205,10 +205,9 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
     Of rows that share that id, those with the same text are one document and the
     first stays; rows without an id stay."""
     found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
-    stay = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_stay")).agg(F.count("*").alias("_rows"))
-    stay = staged(stay, "stay")
-    kept = docs.join(stay, F.col(doc_id).cast("long") == F.col("_stay"), "left_semi")
-    if not stay.where("_rows > 1").isEmpty():
+    roots = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay"))
+    kept = docs.join(roots.distinct(), F.col(doc_id).cast("long") == F.col("_stay"), "left_semi")
+    if not roots.groupBy("_stay").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates([doc_id, text])
     return kept.unionByName(docs.where(F.col(doc_id).isNull()))
 
