@@ -13,16 +13,13 @@ about halves the bits that are left free, so buckets shrink to a bounded number
 of distinct values. No bucket is cut short. Only links that connect a bucket's
 members leave it, fewer than it has members.
 
-Two kinds of features: word shingles (the contract of the query), or the distinct
-words with a 128-bit sketch of the five-word shingles. The latter serves the
-pipeline: changed words move few distinct-word votes, so a small radius finds
-candidates, and the sketch's differing bits tell whether their shingle
-similarity reaches the threshold.
+Fingerprints are those of word shingles (the contract of the query). The pipeline's
+near-dedup at a given similarity is decided by the shingles themselves, see
+``shingles``; the sketches of ``word_fingerprint`` no longer decide anything there.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, staged
 from .components import connected_components
+from .shingles import near_copies
 
 BITS = 64
 #: Classes that one task compares with each other (some hundred kilobytes).
@@ -185,18 +183,17 @@ def near_duplicates(
     """``doc_id, fp, component_id`` for every row of ``docs``.
 
     Documents link when their fingerprints differ in ``radius`` bits at most;
-    ``component_id`` is the smallest id reachable. With ``similarity``,
-    fingerprints are those of distinct words, and classes also need sketches of
-    ``width``-word shingles that tell of a similarity (shared over all shingles)
-    of at least that. Null and empty texts have fingerprint zero and link like
+    ``component_id`` is the smallest id reachable. With ``similarity``, documents
+    link when the Jaccard similarity of their distinct ``width``-word shingles
+    reaches it (``shingles.near_copies``): ``fp`` tells sets of shingles apart and
+    ``radius`` has no part. Null and empty texts are one fingerprint and link like
     others; repeated rows come out as often as they go in; a row without an id
     keeps the component of its fingerprint.
     """
-    words = similarity is not None
-    prints = staged(fingerprints(docs, doc_id=doc_id, text=text, width=width, words=words), "fingerprints")
-    # share s of all shingles in two texts of like length: a cosine of 2s / (1 + s)
-    bits = round(128 * math.acos(2 * similarity / (1 + similarity)) / math.pi) if words else 128
-    return component_ids(prints, radius, bits)
+    if similarity is not None:
+        return near_copies(docs, doc_id=doc_id, text=text, width=width, similarity=similarity)
+    prints = staged(fingerprints(docs, doc_id=doc_id, text=text, width=width), "fingerprints")
+    return component_ids(prints, radius)
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
