@@ -44,6 +44,17 @@ def test_all_links_at_the_threshold(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute(texts)
 
 
+def test_no_link_below_the_threshold(spark):
+    """The same words in another order have equal word fingerprints and few common shingles."""
+    rng = random.Random(6)
+    words = sorted(set(sentence(rng, 200).split()))
+    shuffled = rng.sample(words, len(words))
+    texts = {1: " ".join(words), 2: " ".join(shuffled), 3: " ".join(shuffled[:-1]), 4: " ".join(words), 5: "", 6: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = simhash.keep_one(docs, width=5, radius=5, similarity=0.8)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 5]
+
+
 def test_groups_in_blocks(spark):
     """A group dealt into many pairs of blocks keeps every link and makes none."""
     rng = random.Random(7)
