@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,17 +97,20 @@ def histogram(df: DataFrame, bins: int, by: tuple[str, ...] = ("c",)) -> DataFra
     return df.groupBy(*by, F.floor(v * (bins - 1) + 0.5).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def _grouped_numbers(df: DataFrame, by: list[str], fn, names: list[str]) -> DataFrame:
-    """``by`` and the numbers that ``fn`` makes of each group's values; a group must fit a task."""
+def _grouped_numbers(df: DataFrame, by: list[str], fn, names: list[str], order: str | None = None) -> DataFrame:
+    """``by`` and the numbers that ``fn`` makes of each group's values, sorted, or in the
+    order of column ``order`` and then by value; a group must fit a task."""
     import numpy as np
     import pyarrow as pa
 
-    lists = df.where("v IS NOT NULL").groupBy(*by).agg(F.collect_list("v").alias("vs"))
+    values = F.collect_list("v") if order is None else F.array_sort(F.collect_list(F.struct(order, "v")))["v"]
+    lists = df.where("v IS NOT NULL").groupBy(*by).agg(values.alias("vs"))
     kinds = ", ".join(f"{k} {lists.schema[k].dataType.simpleString()}" for k in by)
 
     def run(batches):
         for batch in batches:
-            got = [fn(np.sort(np.array(v.as_py(), float))) for v in batch.column(len(by))]
+            lists = (np.array(v.as_py(), float) for v in batch.column(len(by)))
+            got = [fn(np.sort(v) if order is None else v) for v in lists]
             cols = [pa.array([g[k] for g in got], pa.float64()) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], *cols], [*by, *names])
 
@@ -161,3 +166,47 @@ def hampel(values) -> tuple[float]:
 
 def hampel_mean(df: DataFrame, by: list[str]) -> DataFrame:
     return _grouped_numbers(df, by, hampel, ["mean"])
+
+
+def qn_mean(values) -> tuple[float, float]:
+    """``qn_robust_mean`` of one group's sorted values: the mean and how many it keeps."""
+    import numpy as np
+
+    n = len(values)
+    if n < 5:
+        cut = math.floor(n * 0.3)
+        kept = values[cut : n - cut]
+    else:
+        low, high = np.triu_indices(n, 1)
+        h = n // 2 + 1
+        k = h * (h - 1) // 2 - 1
+        qn = 2.2219 * np.partition(np.abs(values[low] - values[high]), k)[k]
+        kept = values[np.abs(values - np.median(values)) <= 3.0 * qn]
+    return (float(kept.mean()) if len(kept) else math.nan), float(len(kept))
+
+
+def qn_robust_means(samples: DataFrame, by: list[str]) -> DataFrame:
+    """``qn_robust_mean`` with a group's pairs made inside its task, for whole tables."""
+    found = _grouped_numbers(samples, by, qn_mean, ["mean", "n_kept"])
+    return found.where("n_kept > 0").withColumn("n_kept", F.col("n_kept").cast("long"))
+
+
+def median_line(values) -> tuple[float, float]:
+    """``repeated_median`` of one group's values at 1, 2, ...; none for a single value."""
+    import numpy as np
+
+    n = len(values)
+    if n < 2:
+        return math.nan, math.nan
+    x = np.arange(1, n + 1)
+    others = ~np.eye(n, dtype=bool)
+    run = np.where(others, x[None, :] - x[:, None], 1)
+    slopes = ((values[None, :] - values[:, None]) / run)[others].reshape(n, n - 1)
+    slope = float(np.median(np.median(slopes, axis=1)))
+    return slope, float(np.median(values - slope * x))
+
+
+def repeated_medians(samples: DataFrame, by: list[str], order: str) -> DataFrame:
+    """``repeated_median`` over places in the order of ``order``, with a group's pairs made
+    inside its task, for whole tables."""
+    return _grouped_numbers(samples, by, median_line, ["slope", "intercept"], order).where("NOT isnan(slope)")

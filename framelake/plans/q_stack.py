@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelake.operators import rejection, stacking, statistics
-from framelake.plans import views
+from framelake.plans import registry, views
 from framelake.plans.registry import query
 
 PX, RGB, DEPTH, FRAMES = views.PX, views.RGB, views.DEPTH, views.FRAMES
@@ -200,6 +200,18 @@ def norm_overlap(spark, d):
     return o.where("n >= 3")
 
 
+@query("norm_overlap_whole", f"""WITH {PX}, a AS (SELECT frame_id, x, y, v FROM px),
+o AS (SELECT r.frame_id, r.v AS v, q.v AS v0 FROM a r JOIN a q ON q.frame_id = 0 AND q.x = r.x + (r.frame_id % 3) AND q.y = r.y + (r.frame_id % 2) WHERE r.v <> 0 AND q.v <> 0)
+SELECT frame_id, count(*) AS n, round(median(v) - median(v0), 9) AS off FROM o GROUP BY frame_id HAVING count(*) >= 3""")
+def norm_overlap_whole(spark, d):
+    """``norm_overlap`` for all frames."""
+    a = views.px(spark, d).where("v != 0")
+    ref = a.where("frame_id = 0").select("x", "y", F.col("v").alias("v0"))
+    moved = a.select("frame_id", (F.col("x") + F.col("frame_id") % 3).cast("int").alias("x"), (F.col("y") + F.col("frame_id") % 2).cast("int").alias("y"), "v")
+    o = moved.join(F.broadcast(ref), ["x", "y"]).groupBy("frame_id").agg(F.count("*").alias("n"), F.round(F.median("v") - F.median("v0"), 9).alias("off"))
+    return o.where("n >= 3")
+
+
 # ---- W, F: weights and frame filters ----
 
 _W = {
@@ -394,3 +406,18 @@ m AS (SELECT pixel, median(s) AS slope FROM sl GROUP BY pixel)
 SELECT pixel, round(any_value(slope), 9) AS slope, round(median(v - slope * xx), 9) AS intercept FROM s JOIN m USING (pixel) GROUP BY pixel""")
 def repeated_median(spark, d):
     return rounded(statistics.repeated_median(small_samples(spark, d), ["pixel"]), "slope", "intercept")
+
+
+ALL_SAMPLES = "s AS (SELECT pixel, v, row_number() OVER (PARTITION BY pixel ORDER BY frame_id, v) AS xx FROM depth)"
+
+
+@query("qn_robust_mean_whole", registry._SQL["qn_robust_mean"].replace(SMALL, ALL_SAMPLES))
+def qn_robust_mean_whole(spark, d):
+    """``qn_robust_mean`` over all samples of all pixels."""
+    return rounded(statistics.qn_robust_means(views.depth(spark, d), ["pixel"]), "mean")
+
+
+@query("repeated_median_whole", registry._SQL["repeated_median"].replace(SMALL, ALL_SAMPLES))
+def repeated_median_whole(spark, d):
+    """``repeated_median`` over all samples of all pixels."""
+    return rounded(statistics.repeated_medians(views.depth(spark, d), ["pixel"], "frame_id"), "slope", "intercept")
