@@ -81,6 +81,64 @@ def rbf_background(img: DataFrame, samples: list[tuple[float, float, float]], sm
     return img.withColumn("model", total)
 
 
+def background_samples_by(img: DataFrame, patch: int, tolerance: float, by: list[str]) -> DataFrame:
+    """``background_samples`` of each image by itself: ``by, cx, cy, v``."""
+    m = img.groupBy(*by).agg(F.median("v").alias("m"))
+    patches = img.groupBy(*by, F.floor(F.col("x") / patch).alias("i"), F.floor(F.col("y") / patch).alias("j")).agg(F.median("v").alias("v"))
+    p = patches.join(m, by)
+    mad = p.groupBy(*by).agg(F.median(F.abs(F.col("v") - F.col("m"))).alias("d"))
+    half = (patch - 1) / 2
+    kept = p.join(mad, by).where((F.col("v") > 0) & (F.col("v") <= F.col("m") + tolerance * F.col("d")))
+    return kept.select(*by, (F.col("i") * patch + half).alias("cx"), (F.col("j") * patch + half).alias("cy"), "v")
+
+
+def remove_background_by(img: DataFrame, samples: DataFrame, degree: int, by: list[str], divide: bool = False) -> DataFrame:
+    """``fit_background`` and ``remove_background`` of each image by itself, solved in tasks;
+    an image without samples has a model of zero."""
+    terms = polynomial_terms(F.col("cx"), F.col("cy"), degree)
+    sums = normal_equations(samples, terms, F.col("v"), by)
+    kinds = ", ".join(f"{k} {sums.schema[k].dataType.simpleString()}" for k in by)
+    n = len(terms)
+
+    def run(batches):
+        for batch in batches:
+            found = [solve(r, n).tolist() for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], pa.array(found, pa.list_(pa.float64()))], [*by, "_c"])
+
+    out = img.join(sums.mapInArrow(run, f"{kinds}, _c array<double>"), by, "left")
+    model = F.lit(0.0)
+    for k, t in enumerate(polynomial_terms(F.col("x"), F.col("y"), degree)):
+        model = model + F.col("_c")[k] * t
+    out = out.withColumn("_m", F.coalesce(model, F.lit(0.0))).drop("_c")
+    out = out.join(out.groupBy(*by).agg(F.avg("_m").alias("_mm")), by)
+    new = F.when(F.col("_m") != 0, F.col("v") / F.col("_m")) * F.col("_mm") if divide else F.col("v") - F.col("_m") + F.col("_mm")
+    return out.withColumn("v", new).drop("_m", "_mm")
+
+
+def rbf_background_by(img: DataFrame, samples: DataFrame, by: str, smoothing: float = 0.0) -> DataFrame:
+    """``rbf_background`` of each image (``by, c, x, y, v``) by itself through all its samples;
+    an image must fit a task."""
+
+    def run(pixels: pa.Table, points: pa.Table) -> pa.Table:
+        x, y = (pixels.column(k).to_numpy().astype(float) for k in "xy")
+        p = np.column_stack([points.column(k).to_numpy() for k in ("cx", "cy", "v")])
+        p = p[np.lexsort((p[:, 1], p[:, 0]))]
+        n = len(p)
+        kernel = lambda r2: np.where(r2 > 0, 0.5 * r2 * np.log(np.maximum(r2, 1e-300)), 0.0)
+        phi = kernel(((p[:, None, :2] - p[None, :, :2]) ** 2).sum(axis=2)) + smoothing * np.eye(n)
+        poly = np.column_stack([np.ones(n), p[:, :2]])
+        system = np.block([[phi, poly], [poly.T, np.zeros((3, 3))]])
+        w = np.linalg.lstsq(system, np.concatenate([p[:, 2], np.zeros(3)]), rcond=None)[0]
+        model = w[n] + w[n + 1] * x + w[n + 2] * y
+        for k in range(n):
+            model = model + w[k] * kernel((x - p[k, 0]) ** 2 + (y - p[k, 1]) ** 2)
+        return pixels.append_column("model", pa.array(model, pa.float64()))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in img.schema) + ", model double"
+    points = samples.select(F.col(by).alias("_by"), "cx", "cy", "v")
+    return img.groupBy(by).cogroup(points.groupBy("_by")).applyInArrow(run, schema)
+
+
 def affine(pairs: DataFrame) -> np.ndarray:
     """Least-squares map of (x_a, y_a) to (x_b, y_b): [[a, b, c], [d, e, f]]."""
     t = [F.lit(1.0), F.col("x_a"), F.col("y_a")]

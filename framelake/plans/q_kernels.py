@@ -234,6 +234,15 @@ def field(spark, d):
         (F.col("v") + (F.col("frame_id") % 16) / 100.0).alias("v"))
 
 
+def fields(spark, d):
+    """All frames: a mosaic as ``field`` of every 256, numbered by ``frame_id``."""
+    k = F.col("frame_id") % 256
+    return views.px(spark, d).select(
+        F.floor(F.col("frame_id") / 256).cast("long").alias("frame_id"), F.lit(0).alias("c"),
+        (F.col("x") + 8 * (k % 16)).cast("int").alias("x"), (F.col("y") + 8 * F.floor(k / 16)).cast("int").alias("y"),
+        (F.col("v") + (k % 16) / 100.0).alias("v"))
+
+
 FIELD = PX + ", field AS (SELECT x + 8 * (frame_id % 16) AS x, y + 8 * (frame_id // 16) AS y, v + (frame_id % 16) / 100.0::DOUBLE AS v FROM px WHERE frame_id < 256)"
 
 
@@ -253,18 +262,40 @@ def bg_poly(spark, d):
     return r.select(F.col("a0_0").cast("long").alias("n"), F.round("a0_1", 6).alias("sx"), F.round("a0_2", 6).alias("sy"), F.round("a1_1", 4).alias("sxx"), F.round("a1_2", 4).alias("sxy"), F.round("b1", 6).alias("sxv"))
 
 
+FIELDS = PX + """, fields AS (SELECT frame_id // 256 AS frame_id, x + 8 * (frame_id % 256 % 16) AS x, y + 8 * (frame_id % 256 // 16) AS y,
+  v + (frame_id % 256 % 16) / 100.0::DOUBLE AS v FROM px)"""
+
+
+@query("bg_samples_whole", f"""WITH {FIELDS}, m AS (SELECT frame_id, median(v) AS m FROM fields GROUP BY frame_id), p AS (SELECT frame_id, x // 8 AS i, y // 8 AS j, median(v) AS v FROM fields GROUP BY 1, 2, 3),
+dd AS (SELECT frame_id, median(abs(v - m)) AS d FROM p JOIN m USING (frame_id) GROUP BY frame_id)
+SELECT frame_id, i * 8 + 3.5::DOUBLE AS cx, j * 8 + 3.5::DOUBLE AS cy, round(v, 9) AS v FROM p JOIN m USING (frame_id) JOIN dd USING (frame_id) WHERE v > 0 AND v <= m + 1.5::DOUBLE * d""")
+def bg_samples_whole(spark, d):
+    """``bg_samples`` of every mosaic."""
+    return fitting.background_samples_by(fields(spark, d), 8, 1.5, ["frame_id"]).withColumn("v", F.round("v", 9))
+
+
+@query("bg_poly_whole", f"""WITH {FIELDS}, s AS (SELECT frame_id, x // 8 * 8 + 3.5::DOUBLE AS cx, y // 8 * 8 + 3.5::DOUBLE AS cy, median(v) AS v FROM fields GROUP BY 1, 2, 3)
+SELECT frame_id, count(*) AS n, round(sum(cx), 6) AS sx, round(sum(cy), 6) AS sy, round(sum(cx * cx), 4) AS sxx, round(sum(cx * cy), 4) AS sxy, round(sum(cx * v), 6) AS sxv FROM s GROUP BY frame_id""")
+def bg_poly_whole(spark, d):
+    """``bg_poly`` of every mosaic."""
+    s = fitting.background_samples_by(fields(spark, d), 8, 1e9, ["frame_id"])
+    t = fitting.polynomial_terms(F.col("cx"), F.col("cy"), 1)
+    r = fitting.normal_equations(s, t, F.col("v"), ["frame_id"])
+    return r.select("frame_id", F.col("a0_0").cast("long").alias("n"), F.round("a0_1", 6).alias("sx"), F.round("a0_2", 6).alias("sy"), F.round("a1_1", 4).alias("sxx"), F.round("a1_2", 4).alias("sxy"), F.round("b1", 6).alias("sxv"))
+
+
 @query("bg_removed")
 def bg_removed(spark, d):
-    img = field(spark, d)
-    c = fitting.fit_background(fitting.background_samples(img, 8, 3.0), 2)
-    return rounded(fitting.remove_background(img, c, 2), "v")
+    img = fields(spark, d)
+    samples = fitting.background_samples_by(img, 8, 3.0, ["frame_id"])
+    return rounded(fitting.remove_background_by(img, samples, 2, ["frame_id"]), "v")
 
 
 @query("bg_rbf")
 def bg_rbf(spark, d):
-    img = field(spark, d)
-    s = fitting.background_samples(img, 32, 1e9).orderBy("cx", "cy").limit(16).collect()
-    return rounded(fitting.rbf_background(img, [tuple(r) for r in s]).withColumn("v", F.col("model")), "v")
+    img = fields(spark, d)
+    samples = fitting.background_samples_by(img, 32, 1e9, ["frame_id"])
+    return rounded(fitting.rbf_background_by(img, samples, "frame_id").withColumn("v", F.col("model")), "v")
 
 
 @query("affine_fit", f"WITH {views.STARS}, p AS (SELECT x AS xa, y AS ya FROM stars_a) SELECT 1.002::DOUBLE AS a, 0.01::DOUBLE AS b, 3.0::DOUBLE AS c, -0.01::DOUBLE AS d, 0.998::DOUBLE AS e, -2.0::DOUBLE AS f")
@@ -293,14 +324,14 @@ def colour_model(spark, d):
 
 @query("star_detect")
 def star_detect(spark, d):
-    """Detections of a frame with planted stars, brightest first, 200 at most (a report)."""
-    return fitting.detect(field(spark, d), 2.0).orderBy(F.desc("flux"), "x", "y").limit(200)
+    """All detections of all mosaics."""
+    return fitting.detect(fields(spark, d), 2.0)
 
 
 @query("psf_fit")
 def psf_fit(spark, d):
     w = math.pi / 40
-    img = field(spark, d).withColumn("v", F.col("v") * 0.01 + F.exp(-(F.pow(F.sin(F.col("x") * w), 2) + F.pow(F.sin(F.col("y") * w), 2)) * 60))
+    img = fields(spark, d).withColumn("v", F.col("v") * 0.01 + F.exp(-(F.pow(F.sin(F.col("x") * w), 2) + F.pow(F.sin(F.col("y") * w), 2)) * 60))
     return fitting.psf(img, 4, 6.0)
 
 

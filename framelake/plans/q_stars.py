@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from framelake.operators import curves, fitting, stars, statistics
 from framelake.plans import views
-from framelake.plans.q_kernels import FIELD, field
+from framelake.plans.q_kernels import FIELD, FIELDS, field, fields
 from framelake.plans.registry import query
 
 PX, STARS, CAT = views.PX, views.STARS, views.CAT
@@ -159,6 +159,12 @@ def gradient_fit(spark, d):
     return field(spark, d).agg(F.round(F.regr_slope("v", "x"), 9).alias("gx"), F.round(F.regr_slope("v", "y"), 9).alias("gy"))
 
 
+@query("gradient_fit_whole", f"""WITH {FIELDS} SELECT frame_id, round(regr_slope(v, x), 9) AS gx, round(regr_slope(v, y), 9) AS gy FROM fields GROUP BY frame_id""")
+def gradient_fit_whole(spark, d):
+    """``gradient_fit`` of every mosaic."""
+    return fields(spark, d).groupBy("frame_id").agg(F.round(F.regr_slope("v", "x"), 9).alias("gx"), F.round(F.regr_slope("v", "y"), 9).alias("gy"))
+
+
 @query("pattern_detect", f"""WITH {PX}, s AS (SELECT x % 2 AS i, y % 2 AS j, avg(v) AS m FROM px GROUP BY 1, 2), p(name, ri, rj, bi, bj) AS (VALUES ('RGGB', 0, 0, 1, 1), ('BGGR', 1, 1, 0, 0), ('GRBG', 1, 0, 0, 1), ('GBRG', 0, 1, 1, 0)),
 g AS (SELECT name, max(m) - min(m) AS score FROM p JOIN s ON NOT (i = ri AND j = rj) AND NOT (i = bi AND j = bj) GROUP BY name) SELECT name, round(score, 9) AS score FROM g""")
 def pattern_detect(spark, d):
@@ -179,6 +185,6 @@ def star_white_balance(spark, d):
 
 @query("colour_surface")
 def colour_surface(spark, d):
-    img = field(spark, d)
-    c = fitting.fit_background(fitting.background_samples(img, 8, 1e9), 3)
-    return fitting.remove_background(img, c, 3, divide=True).select("x", "y", F.round("v", 8).alias("v"))
+    img = fields(spark, d)
+    samples = fitting.background_samples_by(img, 8, 1e9, ["frame_id"])
+    return fitting.remove_background_by(img, samples, 3, ["frame_id"], divide=True).select("frame_id", "x", "y", F.round("v", 8).alias("v"))

@@ -6,6 +6,7 @@ import random
 from statistics import median
 
 import pytest
+from pyspark.sql import functions as F
 
 from framelake.plans import registry
 
@@ -54,3 +55,35 @@ def test_repeated_median_of_every_pixel(spark, folder):
 def test_overlap_of_every_frame(spark, folder):
     path, _ = folder
     assert sorted(r["frame_id"] for r in registry.queries()["norm_overlap_whole"](spark, path).collect()) == list(range(90))
+
+
+@pytest.fixture(scope="module")
+def two_mosaics(spark, tmp_path_factory):
+    """256 + 32 frames of plain noise; the second mosaic is brighter."""
+    rng = random.Random(11)
+    path = str(tmp_path_factory.mktemp("mosaics"))
+    frames = [(i, [rng.uniform(0.4, 0.6) + (i // 256) for _ in range(64)], i % 10) for i in range(288)]
+    spark.createDataFrame(frames, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["bg_samples_whole", "bg_poly_whole", "gradient_fit_whole", "bg_removed", "bg_rbf", "star_detect", "psf_fit", "colour_surface"])
+def test_every_mosaic_is_in_the_result(spark, two_mosaics, name):
+    assert {r["frame_id"] for r in registry.queries()[name](spark, two_mosaics).select("frame_id").collect()} == {0, 1}
+
+
+def test_mosaics_are_fitted_by_themselves(spark, two_mosaics):
+    """The first mosaic's results are those of the operators on that mosaic alone."""
+    from framelake.operators import fitting
+    from framelake.plans.q_kernels import field
+
+    img = field(spark, two_mosaics)
+    same = lambda df, name: (
+        {(r["x"], r["y"]): pytest.approx(r["v"], abs=1e-6) for r in df.collect()}
+        == {(r["x"], r["y"]): r["v"] for r in registry.queries()[name](spark, two_mosaics).where("frame_id = 0").collect()})
+    c = fitting.fit_background(fitting.background_samples(img, 8, 3.0), 2)
+    assert same(fitting.remove_background(img, c, 2), "bg_removed")
+    c = fitting.fit_background(fitting.background_samples(img, 8, 1e9), 3)
+    assert same(fitting.remove_background(img, c, 3, divide=True), "colour_surface")
+    s = [tuple(r) for r in fitting.background_samples(img, 32, 1e9).collect()]
+    assert same(fitting.rbf_background(img, s).withColumn("v", F.col("model")), "bg_rbf")
