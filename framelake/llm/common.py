@@ -29,10 +29,13 @@ ARROW_ROWS = 500
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (a local test) is a folder of our own set.
+    Only a session on this machine alone (a local test) may leave it unset; it then
+    gets a folder of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="framelake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,16 +53,19 @@ def staged(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared one, and what is in it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete the files of a table made by ``staged`` that nothing reads any more."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     root = shared_dir(spark)
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if folder.startswith(root) or root.removeprefix("file://") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete_folder(spark, folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -52,8 +52,14 @@ def empty(spark):
 
 def test_substring(docs, rows):
     got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substring.dedup(docs, batches=3).collect())
+    want = brute_substring([(i, t) for i, t, *_ in rows])
+    assert got == want
+    assert any(n for (_, _, n, _) in got)
+
+
+def brute_substring(rows):
     first: dict = {}
-    parsed = [(i if i is not None else substring.LAST, i, WORD.findall(t or "")) for i, t, *_ in rows]
+    parsed = [(i if i is not None else substring.LAST, i, WORD.findall(t or "")) for i, t in rows]
     for o, _, w in parsed:
         for s in range(len(w) - 19):
             k = tuple(w[s : s + 20])
@@ -65,19 +71,44 @@ def test_substring(docs, rows):
             if first[tuple(w[s : s + 20])] < (o, s):
                 gone |= set(range(s, s + 20))
         want[i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)] += 1
-    assert got == want
-    assert any(n for (_, _, n, _) in got)
-
-
-def test_substring_compacts_and_is_incremental(docs, rows):
-    """Five batches make runs of two levels; the answer is that of one batch."""
-    many = sorted(map(tuple, substring.dedup(docs, batches=5).select("doc_id", "n_removed").fillna(-1).collect()))
-    one = sorted(map(tuple, substring.dedup(docs, batches=1).select("doc_id", "n_removed").fillna(-1).collect()))
-    assert many == one
-
-
-def test_substring_pieces(monkeypatch):
-    """Hashing in small pieces gives the hashes of the whole, with words longer than a piece."""
+    return want
+
+
+@pytest.mark.parametrize("batches", [1, 5])
+def test_substring_compacts_and_splits(spark, docs, rows, monkeypatch, batches):
+    """Five batches make runs of three levels, with cells that split on the way; the answer is the same."""
+    monkeypatch.setattr(substring, "CELLS", 4)
+    monkeypatch.setattr(substring, "CELL_WINDOWS", 150)
+    index = substring.Index(spark, substring.Index.create(spark).path, 4)
+    got = Counter(map(tuple, substring.dedup(docs, batches=batches, index=index).collect()))
+    assert got == brute_substring([(i, t) for i, t, *_ in rows])
+    assert index.cells > 4 and all([level for level, _ in s] == ([0] if batches == 1 else [2, 0]) for s in index.shards)
+
+
+def test_substring_index_is_kept(spark, rows):
+    """The index is opened again; a batch added later is deduplicated against all that it holds."""
+    one = [(i, t) for i, t, *_ in rows if i is not None and i < 34]
+    two = [(i, t) for i, t, *_ in rows if i is None or i >= 34]
+    index = substring.Index.create(spark)
+    schema = "doc_id long, text string"
+    first = Counter(map(tuple, substring.dedup(spark.createDataFrame(one, schema), batches=2, index=index).collect()))
+    again = substring.Index.open(spark, index.path)
+    assert again.shards == index.shards and again.windows == index.windows > 0
+    second = Counter(map(tuple, substring.dedup(spark.createDataFrame(two, schema), batches=1, index=again).collect()))
+    assert first + second == brute_substring([(i, t) for i, t, *_ in rows])
+
+
+def test_substring_repeated_ids(spark):
+    """Rows with one id and different texts are told apart, also against the history."""
+    rng = random.Random(12)
+    x, y = sentence(rng, 30), sentence(rng, 30)
+    data = [(1, x), (2, x + " " + y), (2, x + " z " + y), (2, x + " " + y), (3, y), (3, "q " + y), (None, x), (None, "w " + x), (None, x)]
+    got = Counter(map(tuple, substring.dedup(spark.createDataFrame(data, "doc_id long, text string"), batches=3).collect()))
+    assert got == brute_substring(data)
+
+
+def test_substring_pieces(spark, monkeypatch):
+    """Small pieces and parts give the hashes and the answer of the whole, with words longer than a piece."""
     rng = random.Random(3)
     texts = [sentence(rng, 200).encode(), b"", b" \n ", ("x" * 300 + " " + sentence(rng, 40) + " " + "y" * 500).encode(), b"z" * 700]
     whole = substring.window_hashes(texts, substring._Powers())
@@ -85,14 +116,32 @@ def test_substring_pieces(monkeypatch):
     parts = substring.window_hashes(texts, substring._Powers())
     assert len(whole[0]) == 181 + 23 and all((a == b).all() for a, b in zip(whole, parts))
     assert len(substring.window_hashes([b""], substring._Powers())[0]) == 0
+    for t in texts:
+        cut = list(substring._parts(t))
+        hashed = [substring.window_hashes([p], substring._Powers()) for _, p in cut]
+        at = np.concatenate([h[3] + base for (base, _), h in zip(cut, hashed)])
+        one = substring.window_hashes([t], substring._Powers())
+        assert sorted(at.tolist()) == one[3].tolist() and (np.concatenate([h[0] for h in hashed]) == one[0]).all()
+    assert len(list(substring._parts(texts[0]))) > 3
 
 
 def test_substring_packing():
     rng = np.random.default_rng(1)
-    key, check = np.sort(rng.integers(0, 50, 300).astype(np.uint64)), rng.integers(0, 1 << 48, 300).astype(np.uint64)
-    back = substring._unpack(substring._pack([*substring._pack_sorted(key, check), np.arange(3)]))
-    k, c = substring._unpack_sorted(*back[:3])
-    assert (k == key).all() and (c == check).all() and back[3].tolist() == [0, 1, 2]
+    hashed, check = np.sort(rng.integers(0, 1 << 62, 300).astype(np.uint64) << np.uint64(2)), rng.integers(0, 1 << 32, 300).astype(np.uint64)
+    h, c = substring._unpack_prints(substring._pack_prints(hashed, check))
+    assert (h == hashed).all() and (c == check).all()
+    order, row, start = rng.integers(-5, 1 << 40, 30), rng.integers(-(1 << 63), 1 << 62, 30), rng.integers(0, 99, 30)
+    for n in (0, 30):
+        back = substring._unpack_places(substring._pack_places(order[:n], row[:n], start[:n]))
+        assert all((x == y[:n]).all() for x, y in zip(back, (order, row, start)))
+
+
+def test_substring_verifies():
+    """Equal hashes with different checks are no match, and merging keeps both."""
+    u = lambda *x: np.array(x, dtype=np.uint64)
+    assert substring._members(u(3, 5, 5, 9), u(1, 1, 2, 1), u(5, 5, 8), u(7, 2, 1)).tolist() == [False, False, True, False]
+    h, c = substring._merged(u(1, 5), u(1, 1), u(1, 5, 5), u(1, 2, 3))
+    assert h.tolist() == [1, 5, 5, 5] and sorted(c.tolist()) == [1, 1, 2, 3]
 
 
 def brute_counts(t):
