@@ -53,6 +53,14 @@ def staged(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_text(spark: SparkSession, file: str, text: str) -> None:
+    """A small file in the shared folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def delete_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder of the shared one, and what is in it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete_folder, shared_dir, small_batches, staged
+from .common import delete_folder, shared_dir, small_batches, staged, write_text
 
 WINDOW = 20
 #: Bytes of text whose windows a mapper holds before it sends them on, at least and at most.
@@ -42,7 +42,7 @@ PIECE = 1 << 21
 #: At least so many batches, and at most so many bytes of text in one.
 BATCHES, BATCH_BYTES = 4, 1 << 38
 #: Cells at least; windows in a cell of the whole index, about; groups that a batch's windows are sent to, at most.
-CELLS, CELL_WINDOWS, GROUPS = 256, 1_000_000, 1 << 14
+CELLS, CELL_WINDOWS, GROUPS = 64, 1_000_000, 1 << 14
 #: Folders of a run, which are compacted one by one; files of a folder at least, and windows in a file of the whole index, about.
 SHARDS, FILES, FILE_WINDOWS = 4, 4, 1 << 26
 #: Bytes of text whose documents' replies are gathered in one task, about.
@@ -409,7 +409,7 @@ class Index:
     def save(self) -> None:
         self.version += 1
         line = json.dumps({"cells": self.cells, "files": self.files, "windows": self.windows, "shards": self.shards})
-        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{self.path}/manifest/version={self.version}")
+        write_text(self.spark, f"{self.path}/manifest/version={self.version}/runs.json", line)
 
     def run(self, path: str) -> DataFrame:
         """A shard of a run, as a table bucketed by cell."""
@@ -527,7 +527,7 @@ def dedup_batch(docs: DataFrame, index: Index, *, doc_id: str = "doc_id", text:
     small_batches(docs.sparkSession)
     if size is None:
         size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    parts = max(64, size // REPLY_BYTES)
+    parts = max(16, size // REPLY_BYTES)
     groups = min(index.cells, GROUPS)
     segment = min(max(SEGMENT_BYTES, groups * 256 * 6), MOST_SEGMENT)
     rows = _identified(docs, doc_id, text)
