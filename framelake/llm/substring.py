@@ -7,11 +7,11 @@ is, the windows around it are spread evenly; among the 10^13 windows of 100 TB t
 96 bits make 0.001 false matches to be expected.
 
 The index is a list of immutable runs of fingerprints. A run is kept in ``SHARDS``
-folders, ranges of the hash; a shard's rows are *cells*, narrower ranges with their
-fingerprints sorted, in files bucketed by cell. Documents come in batches of
+folders; a shard's rows are *cells*, ranges of the hash with their fingerprints
+sorted, in files bucketed by groups of neighbouring cells. Documents come in batches of
 ascending id. A batch's windows are sent to their cells once, which makes a sorted
 run of them. That run is merge-joined with each older run cell by cell: both are
-bucketed alike, so the history never moves again. Then it joins the index, and two
+bucketed alike, so neither is shuffled and the history never moves again. Then it joins the index, and two
 runs of one level are compacted by merging, shard by shard, into one of the next.
 A cell that outgrows its task is split (``Index.split``). The index stays where it
 was built; ``Index.open`` takes it up again for later batches.
@@ -41,10 +41,10 @@ SEGMENT_BYTES, MOST_SEGMENT = 3 << 20, 24 << 20
 PIECE = 1 << 21
 #: At least so many batches, and at most so many bytes of text in one.
 BATCHES, BATCH_BYTES = 4, 1 << 38
-#: Cells at least; windows in a cell of the whole index, about; groups that a batch's windows are sent to, at most.
+#: Cells at least; windows in a cell of the whole index, about; groups of cells, to which a batch's windows are sent, at most.
 CELLS, CELL_WINDOWS, GROUPS = 64, 1_000_000, 1 << 14
 #: Folders of a run, which are compacted one by one; files of a folder at least, and windows in a file of the whole index, about.
-SHARDS, FILES, FILE_WINDOWS = 4, 4, 1 << 26
+SHARDS, FILES, FILE_WINDOWS = 4, 4, 1 << 24
 #: Bytes of text whose documents' replies are gathered in one task, about.
 REPLY_BYTES = 16 << 20
 LAST = (1 << 63) - 1
@@ -241,10 +241,12 @@ def _merged(a: np.ndarray, a_check: np.ndarray, b: np.ndarray, b_check: np.ndarr
     return hashed[new], check[new]
 
 
-_FIELDS = [("kind", pa.int32()), ("cell", pa.int32()), ("n", pa.int64()), ("data", pa.binary()), ("places", pa.binary())]
+# ``grp`` is the group of cells that a batch's windows are sent to and that files are bucketed by;
+# ``part`` is the part of the documents that a reply is for
+_FIELDS = [("kind", pa.int32()), ("grp", pa.int32()), ("cell", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("data", pa.binary()), ("places", pa.binary())]
 _OUT = pa.schema(_FIELDS)
-_SCHEMA = "kind int, cell int, n long, data binary, places binary"
-_RUN_SCHEMA = "cell int, n long, data binary, places binary"
+_RUN_SCHEMA = "grp int, cell int, part int, n long, data binary, places binary"
+_SCHEMA = "kind int, " + _RUN_SCHEMA
 
 
 def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -262,13 +264,13 @@ def _edges(hashed: np.ndarray, cells: int) -> Iterator[tuple[int, int, int]]:
         yield int(cell[lo]), lo, hi
 
 
-def _reply_rows(order: np.ndarray, row: np.ndarray, start: np.ndarray, parts: int) -> list[tuple]:
+def _reply_rows(group: int, order: np.ndarray, row: np.ndarray, start: np.ndarray, parts: int) -> list[tuple]:
     """Repeated windows, packed for each part of the documents."""
     part = np.mod(order ^ row, parts)
     by = np.argsort(part, kind="stable")
     cut = np.flatnonzero(np.diff(part[by])) + 1
     return [
-        (REPLY, int(part[some[0]]), len(some), _pack_places(order[some], row[some], start[some]), None)
+        (REPLY, group, 0, int(part[some[0]]), len(some), _pack_places(order[some], row[some], start[some]), None)
         for some in np.split(by, cut) if len(some)
     ]
 
@@ -279,16 +281,16 @@ def _mapper(groups: int, segment: int):
         order_of, row_of, base_of = (np.array([r[k] for r in rows], np.int64) for k in range(3))
         hashed, check, text, start = window_hashes([r[3] for r in rows], powers)
         order, row, start = order_of[text], row_of[text], start + base_of[text]
-        by, group, later = _grouped(hashed, check, order, start)
+        by, first, later = _grouped(hashed, check, order, start)
         out = []
         again = by[later]
         if len(again):
-            out.append((REPLY, number % groups, len(again), _pack_places(order[again], row[again], start[again]), None))
+            out.append((REPLY, number % groups, 0, 0, len(again), _pack_places(order[again], row[again], start[again]), None))
         # of one place, only rows that differ
-        by = by[~later & ((group == np.arange(len(by))) | (row[by] != row[by][group]))]
+        by = by[~later & ((first == np.arange(len(by))) | (row[by] != row[by][first]))]
         hashed, check, order, row, start = hashed[by], check[by], order[by], row[by], start[by]
         for cell, lo, hi in _edges(hashed, groups):
-            out.append((WIN, cell, hi - lo, _pack_prints(hashed[lo:hi], check[lo:hi]), _pack_places(order[lo:hi], row[lo:hi], start[lo:hi])))
+            out.append((WIN, cell, 0, 0, hi - lo, _pack_prints(hashed[lo:hi], check[lo:hi]), _pack_places(order[lo:hi], row[lo:hi], start[lo:hi])))
         yield _batch_of(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +315,7 @@ def _sorted_run(cells: int, parts: int):
     """A group of cells: the batch's windows as sorted cells, and replies for those repeated within the batch."""
 
     def run(table: pa.Table) -> pa.Table:
-        replies, wins = [], []
+        replies, wins, group = [], [], table.column("grp")[0].as_py()
         for kind, data, places in zip(table.column("kind").to_pylist(), table.column("data"), table.column("places")):
             if kind == REPLY:
                 replies.append(_unpack_places(data.as_py()))
@@ -323,15 +325,15 @@ def _sorted_run(cells: int, parts: int):
         if wins:
             hashed, check, order, row, start = (np.concatenate([w[k] for w in wins]) for k in range(5))
             wins.clear()
-            by, group, later = _grouped(hashed, check, order, start)
+            by, first, later = _grouped(hashed, check, order, start)
             again = by[later]
             replies.append((order[again], row[again], start[again]))
-            by = by[~later & ((group == np.arange(len(by))) | (row[by] != row[by][group]))]
+            by = by[~later & ((first == np.arange(len(by))) | (row[by] != row[by][first]))]
             hashed, check, order, row, start = hashed[by], check[by], order[by], row[by], start[by]
             for cell, lo, hi in _edges(hashed, cells):
-                out.append((RUN, cell, hi - lo, _pack_prints(hashed[lo:hi], check[lo:hi]), _pack_places(order[lo:hi], row[lo:hi], start[lo:hi])))
+                out.append((RUN, group, cell, 0, hi - lo, _pack_prints(hashed[lo:hi], check[lo:hi]), _pack_places(order[lo:hi], row[lo:hi], start[lo:hi])))
         if replies:
-            out += _reply_rows(*(np.concatenate([r[k] for r in replies]) for k in range(3)), parts)
+            out += _reply_rows(group, *(np.concatenate([r[k] for r in replies]) for k in range(3)), parts)
         return pa.Table.from_batches([_batch_of(out)])
 
     return run
@@ -353,10 +355,10 @@ def _history(parts: int):
         out = []
         if old.num_rows:
             past = _one_run(old)
-            for data, places in zip(new.column("data"), new.column("places")):
+            for group, data, places in zip(new.column("grp").to_pylist(), new.column("data"), new.column("places")):
                 hit = _members(*_unpack_prints(data.as_py()), *past)
                 if hit.any():
-                    out += _reply_rows(*(x[hit] for x in _unpack_places(places.as_py())), parts)
+                    out += _reply_rows(group, *(x[hit] for x in _unpack_places(places.as_py())), parts)
         return pa.Table.from_batches([_batch_of(out)])
 
     return run
@@ -365,16 +367,16 @@ def _history(parts: int):
 def _compact(a: pa.Table, b: pa.Table) -> pa.Table:
     """A cell of two runs as one; the places of the new run's windows are no longer needed."""
     hashed, check = _merged(*_one_run(a), *_one_run(b))
-    cell = (a if a.num_rows else b).column("cell")[0].as_py()
-    return pa.Table.from_batches([_batch_of([(RUN, cell, len(hashed), _pack_prints(hashed, check), None)])]).drop_columns(["kind"])
+    group, cell = ((a if a.num_rows else b).column(c)[0].as_py() for c in ("grp", "cell"))
+    return pa.Table.from_batches([_batch_of([(RUN, group, cell, 0, len(hashed), _pack_prints(hashed, check), None)])]).drop_columns(["kind"])
 
 
 def _halved(cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("data"):
+            for group, data in zip(batch.column("grp").to_pylist(), batch.column("data")):
                 hashed, check = _unpack_prints(data.as_py())
-                rows = [(RUN, c, hi - lo, _pack_prints(hashed[lo:hi], check[lo:hi]), None) for c, lo, hi in _edges(hashed, cells)]
+                rows = [(RUN, group, c, 0, hi - lo, _pack_prints(hashed[lo:hi], check[lo:hi]), None) for c, lo, hi in _edges(hashed, cells)]
                 yield pa.RecordBatch.from_arrays(_batch_of(rows).columns[1:], schema=pa.schema(_FIELDS[1:]))
 
     return run
@@ -385,8 +387,9 @@ class Index:
 
     ``path/manifest`` tells, in its newest line, the runs, their cells and the windows held."""
 
-    def __init__(self, spark: SparkSession, path: str, cells: int = CELLS, files: int = FILES, shards: list | None = None, windows: int = 0, version: int = 0):
+    def __init__(self, spark: SparkSession, path: str, cells: int = CELLS, files: int = FILES, groups: int | None = None, shards: list | None = None, windows: int = 0, version: int = 0):
         self.spark, self.path, self.cells, self.files, self.windows, self.version = spark, path, cells, files, windows, version
+        self.groups = groups or min(cells, GROUPS)
         self.shards: list[list[tuple[int, str]]] = shards or [[] for _ in range(SHARDS)]
 
     @classmethod
@@ -404,25 +407,34 @@ class Index:
         newest = spark.read.text(f"{path}/manifest").orderBy(F.desc("version")).first()
         known = json.loads(newest["value"])
         shards = [[(level, run) for level, run in s] for s in known["shards"]]
-        return cls(spark, path, known["cells"], known["files"], shards, known["windows"], newest["version"])
+        return cls(spark, path, known["cells"], known["files"], known["groups"], shards, known["windows"], newest["version"])
+
+    @property
+    def keys(self) -> list[str]:
+        """What two runs are merged by. Files are bucketed by group; the setting lets Spark
+        merge the cells of a group without a shuffle. It is read when a query is planned, so it stays set."""
+        if self.cells == self.groups:
+            return ["grp"]
+        self.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        return ["grp", "cell"]
 
     def save(self) -> None:
         self.version += 1
-        line = json.dumps({"cells": self.cells, "files": self.files, "windows": self.windows, "shards": self.shards})
+        line = json.dumps({"cells": self.cells, "files": self.files, "groups": self.groups, "windows": self.windows, "shards": self.shards})
         write_text(self.spark, f"{self.path}/manifest/version={self.version}/runs.json", line)
 
     def run(self, path: str) -> DataFrame:
-        """A shard of a run, as a table bucketed by cell."""
+        """A shard of a run, as a table bucketed by group of cells."""
         name = f"run_{uuid.uuid4().hex}"
         place = path.replace("\\", "\\\\").replace("'", "\\'")
-        self.spark.sql(f"CREATE TABLE {name} ({_RUN_SCHEMA}) USING parquet CLUSTERED BY (cell) INTO {self.files} BUCKETS LOCATION '{place}'")
+        self.spark.sql(f"CREATE TABLE {name} ({_RUN_SCHEMA}) USING parquet CLUSTERED BY (grp) INTO {self.files} BUCKETS LOCATION '{place}'")
         found = self.spark.table(name)
         self.spark.sql(f"DROP TABLE {name}")  # the files stay, and the plan has them
         return found
 
     def write(self, df: DataFrame, *parts: str) -> str:
         path, name = f"{self.path}/run-{uuid.uuid4().hex}", f"run_{uuid.uuid4().hex}"
-        writer = df.write.option("compression", "zstd").option("path", path).bucketBy(self.files, "cell")
+        writer = df.write.option("compression", "zstd").option("path", path).bucketBy(self.files, "grp")
         (writer.partitionBy(*parts) if parts else writer).saveAsTable(name)
         self.spark.sql(f"DROP TABLE {name}")
         return path
@@ -436,7 +448,7 @@ class Index:
         for runs in self.shards:
             while len(runs) > 1 and runs[-1][0] == runs[-2][0]:
                 (level, a), (_, b) = runs[-2:]
-                both = self.run(a).groupBy("cell").cogroup(self.run(b).groupBy("cell"))
+                both = self.run(a).groupBy(*self.keys).cogroup(self.run(b).groupBy(*self.keys))
                 runs[-2:] = [(level + 1, self.write(both.applyInArrow(_compact, _RUN_SCHEMA)))]
                 self.save()
                 for old in (a, b):
@@ -528,20 +540,22 @@ def dedup_batch(docs: DataFrame, index: Index, *, doc_id: str = "doc_id", text:
     if size is None:
         size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = max(16, size // REPLY_BYTES)
-    groups = min(index.cells, GROUPS)
+    groups = index.groups
     segment = min(max(SEGMENT_BYTES, groups * 256 * 6), MOST_SEGMENT)
     rows = _identified(docs, doc_id, text)
     windows = rows.select("order", "row", "text").mapInArrow(_mapper(groups, segment), _SCHEMA)
-    made = windows.groupBy("cell").applyInArrow(_sorted_run(index.cells, parts), _SCHEMA)
-    shard = F.when(F.col("kind") == RUN, F.floor(F.col("cell") * F.lit(SHARDS) / F.lit(index.cells)).cast("int")).otherwise(0)
-    path = index.write(made.withColumn("shard", shard), "kind", "shard")
-    replies = index.spark.read.schema(_RUN_SCHEMA + ", kind int, shard int").parquet(path).where(F.col("kind") == REPLY).select("cell", "data")
+    # each task has the groups of one shard's bucket, so it writes one file of them and one of replies
+    dealt = windows.repartition(SHARDS * index.files, "grp")
+    made = dealt.groupBy("grp").applyInArrow(_sorted_run(index.cells, parts), _SCHEMA)
+    shard = F.floor(F.pmod(F.hash("grp"), F.lit(SHARDS * index.files)) / index.files).cast("int")
+    path = index.write(made.withColumn("shard", F.when(F.col("kind") == RUN, shard).otherwise(0)), "kind", "shard")
+    replies = index.spark.read.schema(_RUN_SCHEMA + ", kind int, shard int").parquet(path).where(F.col("kind") == REPLY).select("part", "data")
     new = [f"{path}/kind={RUN}/shard={s}" for s in range(SHARDS)]
     for run, older in zip(new, index.shards):
         for _, old in older:
-            both = index.run(run).groupBy("cell").cogroup(index.run(old).groupBy("cell"))
-            replies = replies.unionByName(both.applyInArrow(_history(parts), _SCHEMA).select("cell", "data"))
-    found = replies.groupBy("cell").applyInArrow(_by_document, "order long, row long, starts binary")
+            both = index.run(run).groupBy(*index.keys).cogroup(index.run(old).groupBy(*index.keys))
+            replies = replies.unionByName(both.applyInArrow(_history(parts), _SCHEMA).select("part", "data"))
+    found = replies.groupBy("part").applyInArrow(_by_document, "order long, row long, starts binary")
     joined = rows.join(found, ["order", "row"], "left").select("doc_id", "text", "starts")
     kind = docs.schema[doc_id].dataType.simpleString()
 
