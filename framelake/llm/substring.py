@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete_folder, shared_dir, small_batches, staged, write_text
+from .common import delete_folder, setting, shared_dir, small_batches, staged, write_text
 
 WINDOW = 20
 #: Bytes of text whose windows a mapper holds before it sends them on, at least and at most.
@@ -45,6 +45,10 @@ BATCHES, BATCH_BYTES = 4, 1 << 38
 CELLS, CELL_WINDOWS, GROUPS = 64, 1_000_000, 1 << 14
 #: Folders of a run, which are compacted one by one; files of a folder at least, and windows in a file of the whole index, about.
 SHARDS, FILES, FILE_WINDOWS = 4, 4, 1 << 24
+#: Windows in a row of a run: a long cell is several rows, of some hundred kilobytes each.
+CHUNK = 1 << 15
+#: Rows of runs that Spark reads together.
+READ_ROWS = 64
 #: Bytes of text whose documents' replies are gathered in one task, about.
 REPLY_BYTES = 16 << 20
 LAST = (1 << 63) - 1
@@ -264,6 +268,11 @@ def _edges(hashed: np.ndarray, cells: int) -> Iterator[tuple[int, int, int]]:
         yield int(cell[lo]), lo, hi
 
 
+def _chunks(lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """Ranges of ``CHUNK`` at most."""
+    return ((a, min(a + CHUNK, hi)) for a in range(lo, hi, CHUNK))
+
+
 def _reply_rows(group: int, order: np.ndarray, row: np.ndarray, start: np.ndarray, parts: int) -> list[tuple]:
     """Repeated windows, packed for each part of the documents."""
     part = np.mod(order ^ row, parts)
@@ -331,7 +340,8 @@ def _sorted_run(cells: int, parts: int):
             by = by[~later & ((first == np.arange(len(by))) | (row[by] != row[by][first]))]
             hashed, check, order, row, start = hashed[by], check[by], order[by], row[by], start[by]
             for cell, lo, hi in _edges(hashed, cells):
-                out.append((RUN, group, cell, 0, hi - lo, _pack_prints(hashed[lo:hi], check[lo:hi]), _pack_places(order[lo:hi], row[lo:hi], start[lo:hi])))
+                for a, b in _chunks(lo, hi):
+                    out.append((RUN, group, cell, 0, b - a, _pack_prints(hashed[a:b], check[a:b]), _pack_places(order[a:b], row[a:b], start[a:b])))
         if replies:
             out += _reply_rows(group, *(np.concatenate([r[k] for r in replies]) for k in range(3)), parts)
         return pa.Table.from_batches([_batch_of(out)])
@@ -340,12 +350,10 @@ def _sorted_run(cells: int, parts: int):
 
 
 def _one_run(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """A cell's fingerprints."""
+    """The fingerprints of all rows of one run, which are ranges that don't overlap."""
+    found = sorted((_unpack_prints(d.as_py()) for d in table.column("data")), key=lambda f: int(f[0][0]))
     none = np.empty(0, dtype=_U)
-    found = none, none
-    for data in table.column("data"):
-        found = _merged(*found, *_unpack_prints(data.as_py())) if len(found[0]) else _unpack_prints(data.as_py())
-    return found
+    return tuple(np.concatenate([none, *(f[k] for f in found)]) for k in range(2))
 
 
 def _history(parts: int):
@@ -368,7 +376,8 @@ def _compact(a: pa.Table, b: pa.Table) -> pa.Table:
     """A cell of two runs as one; the places of the new run's windows are no longer needed."""
     hashed, check = _merged(*_one_run(a), *_one_run(b))
     group, cell = ((a if a.num_rows else b).column(c)[0].as_py() for c in ("grp", "cell"))
-    return pa.Table.from_batches([_batch_of([(RUN, group, cell, 0, len(hashed), _pack_prints(hashed, check), None)])]).drop_columns(["kind"])
+    rows = [(RUN, group, cell, 0, y - x, _pack_prints(hashed[x:y], check[x:y]), None) for x, y in _chunks(0, len(hashed))]
+    return pa.Table.from_batches([_batch_of(rows)]).drop_columns(["kind"])
 
 
 def _halved(cells: int):
@@ -434,8 +443,8 @@ class Index:
 
     def write(self, df: DataFrame, *parts: str) -> str:
         path, name = f"{self.path}/run-{uuid.uuid4().hex}", f"run_{uuid.uuid4().hex}"
-        writer = df.write.option("compression", "zstd").option("path", path).bucketBy(self.files, "grp")
-        (writer.partitionBy(*parts) if parts else writer).saveAsTable(name)
+        writer = df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").option("path", path)
+        (writer.partitionBy(*parts) if parts else writer).bucketBy(self.files, "grp").saveAsTable(name)
         self.spark.sql(f"DROP TABLE {name}")
         return path
 
@@ -548,9 +557,10 @@ def dedup_batch(docs: DataFrame, index: Index, *, doc_id: str = "doc_id", text:
     dealt = windows.repartition(SHARDS * index.files, "grp")
     made = dealt.groupBy("grp").applyInArrow(_sorted_run(index.cells, parts), _SCHEMA)
     shard = F.floor(F.pmod(F.hash("grp"), F.lit(SHARDS * index.files)) / index.files).cast("int")
-    path = index.write(made.withColumn("shard", F.when(F.col("kind") == RUN, shard).otherwise(0)), "kind", "shard")
-    replies = index.spark.read.schema(_RUN_SCHEMA + ", kind int, shard int").parquet(path).where(F.col("kind") == REPLY).select("part", "data")
-    new = [f"{path}/kind={RUN}/shard={s}" for s in range(SHARDS)]
+    path = index.write(made.withColumn("shard", F.when(F.col("kind") == RUN, shard).otherwise(-1)).drop("kind"), "shard")
+    whole = index.spark.read.schema(_RUN_SCHEMA + ", shard int").parquet(path)
+    replies = whole.where("shard = -1").select("part", "data")
+    new = [f"{path}/shard={s}" for s in range(SHARDS)]
     for run, older in zip(new, index.shards):
         for _, old in older:
             both = index.run(run).groupBy(*index.keys).cogroup(index.run(old).groupBy(*index.keys))
@@ -560,9 +570,8 @@ def dedup_batch(docs: DataFrame, index: Index, *, doc_id: str = "doc_id", text:
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def add() -> None:
-        runs = index.spark.read.schema(_RUN_SCHEMA + ", kind int, shard int").parquet(path).where(F.col("kind") == RUN)
-        index.add(new, runs.agg(F.sum("n")).first()[0] or 0)
-        delete_folder(index.spark, f"{path}/kind={REPLY}")
+        index.add(new, whole.where("shard >= 0").agg(F.sum("n")).first()[0] or 0)
+        delete_folder(index.spark, f"{path}/shard=-1")
 
     return joined.mapInArrow(_cut, f"doc_id {kind}, n_words long, n_removed long, kept_text string"), add
 
@@ -591,16 +600,17 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", batche
     shares = [(k + 1) / batches for k in range(batches - 1)]
     cuts = sorted(set(docs.select(F.percentile_approx(ids, shares, 10_000)).first()[0] or [])) if shares else []
     out = None
-    for k in range(len(cuts) + 1):
-        part = docs
-        if k:
-            part = part.where(ids > cuts[k - 1])
-        if k < len(cuts):
-            part = part.where(ids <= cuts[k])
-        found, add = dedup_batch(part, index, doc_id=doc_id, text=text, size=size // batches)
-        done = staged(project(found), "deduped")
-        release(spark)
-        add()
-        release(spark)
-        out = done if out is None else out.unionByName(done)
+    with setting(spark, "spark.sql.parquet.columnarReaderBatchSize", READ_ROWS):
+        for k in range(len(cuts) + 1):
+            part = docs
+            if k:
+                part = part.where(ids > cuts[k - 1])
+            if k < len(cuts):
+                part = part.where(ids <= cuts[k])
+            found, add = dedup_batch(part, index, doc_id=doc_id, text=text, size=size // batches)
+            done = staged(project(found), "deduped")
+            release(spark)
+            add()
+            release(spark)
+            out = done if out is None else out.unionByName(done)
     return out

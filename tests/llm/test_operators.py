@@ -79,6 +79,7 @@ def test_substring_compacts_and_splits(spark, docs, rows, monkeypatch, batches):
     """Five batches make runs of three levels, with cells that split on the way; the answer is the same."""
     monkeypatch.setattr(substring, "CELLS", 4)
     monkeypatch.setattr(substring, "CELL_WINDOWS", 150)
+    monkeypatch.setattr(substring, "CHUNK", 40)
     index = substring.Index(spark, substring.Index.create(spark).path, 4, files=1)
     got = Counter(map(tuple, substring.dedup(docs, batches=batches, index=index).collect()))
     assert got == brute_substring([(i, t) for i, t, *_ in rows])
