@@ -1,7 +1,7 @@
 """Training-data pipeline operators.
 
-Functions of this subpackage travel to executors by value, so that executors need
-no copy of the library.
+Functions and classes of this subpackage travel to executors by value, and what it
+broadcasts is plain data, so that executors need no copy of the library.
 """
 
 import sys

@@ -4,8 +4,10 @@ Conventions used by every operator in this subpackage:
 
 * a *word* is a maximal run of characters other than U+0020 and U+0009 to U+000D;
 * a null text is an empty text;
-* input columns that an operator does not use are ignored, so extra columns and
-  clashing names never reach its internal joins;
+* input columns that an operator does not use are ignored, or travel in one struct
+  (``packed``), so extra columns and clashing names never reach its internal joins;
+  where an operator adds columns, an input column of the same name gives way;
+* broadcast values are plain arrays, lists and dicts, so executors need no library;
 * intermediate tables that cut lineage are written below ``spark.checkpoint.dir``.
 """
 
@@ -102,6 +104,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(ARROW_ROWS))
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(df: DataFrame, **named: str | Column) -> DataFrame:
+    """Each row as one struct ``_doc``, beside the named columns, so that no column of
+    ``df`` meets a name that an operator uses."""
+    more = [(F.col(quoted(c)) if isinstance(c, str) else c).alias(n) for n, c in named.items()]
+    return df.select(F.struct(*[F.col(quoted(c)).alias(c) for c in df.columns]).alias("_doc"), *more)
+
+
+def unpacked(df: DataFrame, own: list[str], added: list[str]) -> DataFrame:
+    """The columns of ``_doc`` and the added ones; an own column of an added one's name gives way."""
+    return df.select(*[F.col("_doc." + quoted(c)).alias(c) for c in own if c not in added], *added)
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

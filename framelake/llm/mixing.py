@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_safe, ranked, uniform, word_count
+from .common import null_safe, packed, quoted, ranked, uniform, unpacked, word_count
 
 #: Above this many sources their table is joined by a shuffle; below it is broadcast.
 BROADCAST_SOURCES = 100_000
 SEED = 20_240_229
+ADDED = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
 
 
 def source_targets(
@@ -35,7 +36,7 @@ def source_targets(
     words has target 0.
     """
     sizes = (
-        docs.select(F.col(source).alias("src"), word_count(text).alias("n"))
+        docs.select(F.col(quoted(source)).alias("src"), word_count(F.col(quoted(text))).alias("n"))
         .groupBy("src")
         .agg(F.sum("n").alias("source_size"))
     )
@@ -74,9 +75,15 @@ def mix(
     """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies``.
 
     A null text has size 0, a null source is a source of its own, rows repeated
-    with one id get the same number of copies, an empty table stays empty, and
-    other columns pass through whatever their names.
+    with one id get the same number of copies, very long texts are counted whole,
+    sources of equal size are told apart by their names, an empty table stays empty.
+    Columns of ``docs`` named like the four give way; others pass through.
     """
+    return unpacked(_mixed(docs, doc_id, text, source, weights, cap, seed), docs.columns, ADDED)
+
+
+def _mixed(docs: DataFrame, doc_id: str, text: str, source: str, weights: tuple[float, ...], cap: float, seed: int) -> DataFrame:
+    """``_doc`` with the four columns."""
     targets, count = source_targets(docs, text=text, source=source, weights=weights, cap=cap)
     right = targets.select(
         F.col("src").alias("_mix_src"),
@@ -85,16 +92,24 @@ def mix(
     )
     if count <= BROADCAST_SOURCES:
         right = F.broadcast(right)
-    joined = docs.withColumn("mix_size", word_count(text)).join(
-        right, null_safe(F.col(source), F.col("_mix_src")), "left"
-    )
+    whole = packed(docs, _id=doc_id, _source=source, mix_size=word_count(F.col(quoted(text))))
+    joined = whole.join(right, null_safe(F.col("_source"), F.col("_mix_src")), "left")
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(0.0)
-    extra = (uniform(seed, F.col(doc_id)) < rate - F.floor(rate)).cast("long")
-    return joined.withColumn("mix_copies", F.floor(rate) + extra).drop("_mix_src")
+    extra = (uniform(seed, F.col("_id")) < rate - F.floor(rate)).cast("long")
+    return joined.withColumn("mix_copies", F.floor(rate) + extra)
 
 
-def emit(mixed: DataFrame) -> DataFrame:
-    """Each row as often as ``mix_copies`` says, without the ``mix_`` columns."""
-    keep = [c for c in mixed.columns if c not in ("mix_size", "mix_source_size", "mix_target", "mix_copies")]
+def emit(
+    docs: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
+    cap: float = 3.0,
+    seed: int = SEED,
+) -> DataFrame:
+    """Each row of ``docs`` as often as ``mix`` says, with its own columns, whatever their names."""
+    mixed = _mixed(docs, doc_id, text, source, weights, cap, seed)
     copies = F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))
-    return mixed.where("mix_copies > 0").select(*[F.col(f"`{c}`") for c in keep], copies.alias("_mix_copy")).drop("_mix_copy")
+    return mixed.where("mix_copies > 0").select("_doc", copies.alias("_copy")).select("_doc.*")

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_or_empty
+from .common import SPACE, packed, quoted, text_or_empty, unpacked
 
 #: Labelled rows that the list is learned from, at most.
 LEARN_ROWS = 3_000
@@ -43,12 +43,17 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the count columns of the contract and ``n_lines`` (lines with a word).
 
     Windows are compared by a 64-bit hash of their word hashes, within one text.
-    Null and empty texts have all counts zero. Columns of ``docs`` of the same
-    names are replaced; rename them first to keep them.
+    Null and empty texts have all counts zero; very long texts are counted whole.
+    Columns of ``docs`` of the same names give way; others stay, whatever their names.
     """
-    body = text_or_empty(text)
+    return unpacked(_counted(packed(docs, _text=text)), docs.columns, [*COUNTS, "n_lines"])
+
+
+def _counted(whole: DataFrame) -> DataFrame:
+    """``_doc`` and the counts of ``_text``."""
+    body = text_or_empty("_text")
     spaced = F.regexp_replace(body, f"{SPACE}+", " ")
-    df = docs.withColumn("_flat", F.trim(spaced))
+    df = whole.withColumn("_flat", F.trim(spaced))
     df = df.withColumn("_hash", F.when(F.col("_flat") == "", F.array().cast("array<bigint>")).otherwise(
         F.transform(F.split("_flat", " "), lambda w: F.xxhash64(w))))
     lines = F.filter(F.split(body, "\n", -1), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
@@ -202,8 +207,8 @@ def learned(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
         .limit(sample)
     )
     # at most `sample` rows of two numbers
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
-    rows = with_counts(rows, "_text")
+    rows = docs.select(F.col(quoted(doc_id)).alias("_id"), F.col(quoted(text)).alias("_text")).join(F.broadcast(chosen), "_id")
+    rows = _counted(rows)
     ratios = [F.expr(e).alias(f"r_{n}") for n, e in RATIOS.items()]
     stats = rows.select(F.xxhash64("_id").alias("_order"), "_id", F.col("_quality").cast("int"), base_failed(), *ratios)
     # a filter here would evaluate all counts once more: the base rules are applied to the small result
@@ -220,10 +225,9 @@ def verdict(rules: list[Rule]) -> tuple[Column, Column]:
 
 
 def keep(docs: DataFrame, rules: list[Rule], *, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their own columns."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text).alias("_text"))
+    """The rows of ``docs`` that the rules keep, with their own columns, whatever their names."""
     # the row number keeps the optimizer from evaluating the counts a second time below the filter
-    judged = judge(whole, rules, text="_text").withColumn("_row", F.monotonically_increasing_id())
+    judged = _judged(packed(docs, _text=text), rules).withColumn("_row", F.monotonically_increasing_id())
     return judged.where(F.col("kept") & (F.col("_row") >= 0)).select("_doc.*")
 
 
@@ -231,7 +235,13 @@ def judge(docs: DataFrame, rules: list[Rule], *, text: str = "text") -> DataFram
     """``docs`` with counts, ``base_failed``, ``kept`` and ``rule``.
 
     A text without words fails the base rules. Repeated rows are judged alike,
-    and an empty table stays empty.
+    very long texts whole, of several rules that hold (a tie) the first of the list
+    fires, and an empty table stays empty. Columns of ``docs`` of the added ones'
+    names give way.
     """
+    return unpacked(_judged(packed(docs, _text=text), rules), docs.columns, [*COUNTS, "n_lines", "base_failed", "kept", "rule"])
+
+
+def _judged(whole: DataFrame, rules: list[Rule]) -> DataFrame:
     kept, rule = verdict(rules)
-    return with_counts(docs, text).select("*", base_failed().alias("base_failed"), kept.alias("kept"), rule.alias("rule"))
+    return _counted(whole).select("*", base_failed().alias("base_failed"), kept.alias("kept"), rule.alias("rule"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import packed, quoted, small_batches, staged
 from .components import connected_components
 from .shingles import near_copies
 
@@ -199,14 +199,19 @@ def near_duplicates(
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each group (the one with the smallest id), with its own columns.
 
-    Of rows that share that id, those with the same text are one document and the
-    first stays; rows without an id stay."""
+    Of rows that share that id, those with the same text are one document and one
+    stays; rows without an id stay. A null text is an empty one. Very long texts are
+    compared whole. Other columns pass through, whatever their names; an empty table
+    stays empty."""
     found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
-    roots = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay"))
-    kept = docs.join(roots.distinct(), F.col(doc_id).cast("long") == F.col("_stay"), "left_semi")
-    if not roots.groupBy("_stay").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([doc_id, text])
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+    roots = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_stay")).agg(F.count("*").alias("n"))
+    roots = staged(roots, "near-stay")
+    whole = packed(docs, _id=F.col(quoted(doc_id)).cast("long"), _text=text)
+    mine = F.col("_id") == F.col("_stay")
+    once = whole.join(roots.where("n = 1"), mine, "left_semi")
+    # texts are compared only where an id is there more than once
+    more = whole.join(roots.where("n > 1"), mine, "left_semi").dropDuplicates(["_id", "_text"])
+    return once.unionByName(more).unionByName(whole.where("_id IS NULL")).select("_doc.*")
 
 
 def component_ids(prints: DataFrame, radius: int, sketch_bits: int = 128) -> DataFrame:

@@ -78,9 +78,10 @@ class LogisticModel:
             if np.abs(step).max() < 1e-8:
                 break
 
-    def log_odds(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -12, 12)
-        return np.clip(self.weight[0] + z @ self.weight[1:], -MOST_EVIDENCE, MOST_EVIDENCE)
+
+def log_odds(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    z = np.clip((x - mean) / scale, -12, 12)
+    return np.clip(weight[0] + z @ weight[1:], -MOST_EVIDENCE, MOST_EVIDENCE)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", sample: int = FIT_ROWS) -> LogisticModel:
@@ -99,8 +100,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
             x = [features(t.as_py()) for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
-    table = rows.select("_quality", "_text").mapInArrow(run, "y int, x array<double>").limit(2 * sample).collect()
-    table = sorted((r["y"], r["x"]) for r in table)
+    # of rows that share an id the one with the least text hash, so at most ``sample`` rows of a few numbers
+    rows = rows.groupBy("_id").agg(F.min_by(F.struct("_quality", "_text"), F.xxhash64("_text")).alias("r")).select("r.*")
+    table = sorted((r["y"], r["x"]) for r in rows.mapInArrow(run, "y int, x array<double>").collect())
     x = np.array([r[1] for r in table], dtype=float).reshape(len(table), FEATURES)
     return LogisticModel(x, np.array([r[0] for r in table], dtype=float))
 
@@ -128,17 +130,18 @@ def classify(docs: DataFrame, model: LogisticModel, *, doc_id: str = "doc_id", t
     ``evidence`` is the document model's probability, ``quality`` the posterior,
     ``kept`` whether it is at least one half. A null host or path is a site of
     its own, a site of one document has its parent's prior, null and empty texts
-    have the evidence of a text without words, repeated rows stay repeated, and
-    an empty table gives an empty result.
+    have the evidence of a text without words, very long texts are read whole,
+    repeated rows stay repeated, a posterior of just one half (a tie) is kept, other
+    columns are ignored, and an empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model.mean, model.scale, model.weight))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([features(t.as_py()) for t in batch.column(3).cast(pa.binary())], dtype=float).reshape(-1, FEATURES)
-            odds = pa.array(shared.value.log_odds(x), pa.float64())
+            odds = pa.array(log_odds(x, *shared.value), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], odds], ["doc_id", "host", "path", "odds"])
 
     kind = docs.schema[doc_id].dataType.simpleString()

@@ -555,7 +555,7 @@ def test_mixing(docs, rows, empty):
         assert r["mix_source_size"] == sizes[r["source"]] and r["mix_target"] == pytest.approx(targets[r["source"]])
         rate = targets[r["source"]] / sizes[r["source"]]
         assert r["mix_copies"] in (int(rate), int(rate) + 1) and r["mix_copies"] <= 3
-    out = mixing.emit(mixed)
+    out = mixing.emit(docs)
     assert out.columns == docs.columns and out.count() == sum(r["mix_copies"] for r in got)
     assert Counter((r["doc_id"], r["mix_copies"]) for r in mixing.mix(docs.repartition(7)).collect()) == Counter((r["doc_id"], r["mix_copies"]) for r in got)
     assert mixing.mix(empty).count() == 0
