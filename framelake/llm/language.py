@@ -9,13 +9,14 @@ a text's exact code length under each language is a sum of table entries. The
 language with the shortest code wins.
 
 Training sees a bounded sample of labelled documents (``TRAIN_DOCS`` a language,
-those with the smallest id hashes, of at most ``TRAIN_BYTES`` together).
-Prediction covers every byte of every text.
+those with the smallest id hashes, of at most ``TRAIN_BYTES`` together); all languages
+that training rows name are learned. A language's table has rows for its own contexts
+and columns for its own bytes only: some megabytes. Prediction covers every byte of
+every text.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,76 +35,94 @@ TRAIN_BYTES = 600_000
 LEAST_SEEN = 3
 #: Bytes of text that are scored together.
 CHUNK = 1 << 20
-#: Languages that a model can tell apart, at most (the most frequent ones).
-MOST_LANGUAGES = 1_000
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
+#: Values of a byte, and what stands before a text.
+VALUES = 257
+
+
+class Table:
+    """One language's code lengths in bits. Bytes that its training never saw are one
+    symbol, 0, and so is what stands before a text. Only contexts that occurred have a
+    row: ``two`` leads from the last two bytes to a row (that of the last byte where the
+    pair is new), ``three`` from there and the byte before to the final one."""
+
+    def __init__(self, symbol: np.ndarray, two: np.ndarray, three: np.ndarray, bits: np.ndarray):
+        self.symbol, self.two, self.three, self.bits = symbol, two, three, bits
+        self.size = bits.shape[1]
+
+    @classmethod
+    def learn(cls, texts: list[bytes], least: int) -> Table:
+        used = np.zeros(256, dtype=bool)
+        for t in texts:
+            used[np.unique(np.frombuffer(t, np.uint8))] = True
+        kinds = int(used.sum())
+        symbol = np.zeros(256, dtype=np.int32)
+        symbol[used] = np.arange(1, kinds + 1)
+        size = kinds + 1
+        s = np.concatenate([np.concatenate([[0, 0, 0], symbol[np.frombuffer(t, np.uint8)]]) for t in texts] or [np.zeros(0, np.int32)]).astype(np.int64)
+        lengths = np.array([len(t) + 3 for t in texts], dtype=np.int64)
+        at = np.arange(len(s)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        at = np.flatnonzero(at >= 3)
+        now, one, two, three = s[at], s[at - 1], s[at - 2], s[at - 3]
+        shorter = np.full((1, size), 1.0 / VALUES)
+        shorter[0, 0] = (VALUES - kinds) / VALUES  # all values that are symbol 0, together
+        shorter = _blend(np.bincount(now, minlength=size)[None, :], shorter)
+        p1 = _blend(np.bincount(one * size + now, minlength=size * size).reshape(size, size), np.repeat(shorter, size, axis=0))
+        pair = two * size + one
+        pairs, row = np.unique(pair, return_inverse=True)
+        p2 = _blend(np.bincount(row * size + now, minlength=len(pairs) * size).reshape(-1, size), p1[pairs % size])
+        lead2 = np.tile(np.arange(size, dtype=np.int32), size)
+        lead2[pairs] = size + np.arange(len(pairs), dtype=np.int32)
+        deep, row3, seen = np.unique((row + size) * size + three, return_inverse=True, return_counts=True)
+        often = np.flatnonzero(seen >= least)
+        number = np.full(len(deep), -1)
+        number[often] = np.arange(len(often))
+        inside = number[row3] >= 0
+        counts = np.bincount(number[row3[inside]] * size + now[inside], minlength=len(often) * size).reshape(-1, size)
+        p3 = _blend(counts, p2[deep[often] // size - size])
+        lead3 = np.repeat(np.arange(size + len(pairs), dtype=np.int32), size)
+        lead3[deep[often]] = size + len(pairs) + np.arange(len(often), dtype=np.int32)
+        bits = -np.log2(np.concatenate([p1, p2, p3]))
+        bits[:, 0] += np.log2(VALUES - kinds)  # one value of those that symbol 0 stands for
+        return cls(symbol, lead2, lead3, bits.astype(np.float32))
+
+    def length(self, before: bytes, text: np.ndarray) -> float:
+        """Bits of the bytes ``text``, which follow ``before``."""
+        s = np.concatenate([np.zeros(3 - len(before), np.int32), self.symbol[np.frombuffer(before, np.uint8)], self.symbol[text]])
+        row = self.two[s[1:-2] * self.size + s[2:-1]]
+        row = self.three[row * self.size + s[:-3]]
+        return float(self.bits[row, s[3:]].sum(dtype=np.float64))
 
 
 class Model:
-    """Code lengths in bits: ``bits[row, symbol, language]``; a context of three
-    bytes leads to its row, which is that of a shorter context if it is rare."""
+    """A table for each language. ``plain`` and ``of`` turn it into arrays and back."""
 
-    def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER, least: int = LEAST_SEEN):
-        assert order == 3
+    def __init__(self, samples: dict[str, list[bytes]], least: int = LEAST_SEEN):
         self.languages = sorted(samples)
-        used = np.zeros(256, dtype=bool)
-        for texts in samples.values():
-            for t in texts:
-                used[np.unique(np.frombuffer(t, np.uint8))] = True
-        used[0x20] = True
-        # symbol 0: any byte that training never saw, and what stands before a text
-        self.symbol = np.zeros(256, dtype=np.int64)
-        self.symbol[used] = np.arange(1, used.sum() + 1)
-        size = self.size = int(used.sum()) + 1
-        codes = {}
-        for lang, texts in samples.items():
-            s = np.concatenate([np.concatenate([[0, 0, 0], self.symbol[np.frombuffer(t, np.uint8)]]) for t in texts] or [np.zeros(3, np.int64)])
-            starts = np.zeros(len(s), dtype=bool)
-            at = 0
-            for t in texts:
-                starts[at : at + 3] = True
-                at += len(t) + 3
-            codes[lang] = (s, np.flatnonzero(~starts[: len(s)]) if texts else np.empty(0, np.int64))
-        seen = np.zeros(size**3, dtype=np.int32)
-        for s, at in codes.values():
-            np.add.at(seen, (s[at - 3] * size + s[at - 2]) * size + s[at - 1], 1)
-        deep = np.flatnonzero(seen >= least)
-        pairs = size * size
-        self.row = np.tile(np.arange(pairs, dtype=np.int32), size)  # falls back to the last two bytes
-        self.row[deep] = pairs + np.arange(len(deep), dtype=np.int32)
-        self.bits = np.empty((pairs + len(deep), size, len(self.languages)), dtype=np.float32)
-        for k, lang in enumerate(self.languages):
-            s, at = codes[lang]
-            sym = s[at]
-            p = np.full((1, size), 1.0 / size)
-            p = _blend(np.bincount(sym, minlength=size)[None, :], p)
-            one = np.bincount(s[at - 1] * size + sym, minlength=pairs).reshape(size, size)
-            p = _blend(one, np.repeat(p, size, axis=0))
-            two = np.bincount((s[at - 2] * size + s[at - 1]) * size + sym, minlength=size**3).reshape(pairs, size)
-            p = _blend(two, np.tile(p, (size, 1)))
-            context = self.row[(s[at - 3] * size + s[at - 2]) * size + s[at - 1]]
-            is_deep = context >= pairs
-            three = np.bincount((context[is_deep] - pairs).astype(np.int64) * size + sym[is_deep], minlength=len(deep) * size)
-            p3 = _blend(three.reshape(len(deep), size), p[deep % pairs])
-            self.bits[:pairs, :, k] = -np.log2(p)
-            self.bits[pairs:, :, k] = -np.log2(p3)
+        self.tables = [Table.learn(samples[k], least) for k in self.languages]
+
+    def plain(self) -> list[tuple]:
+        return [(k, t.symbol, t.two, t.three, t.bits) for k, t in zip(self.languages, self.tables)]
+
+    @classmethod
+    def of(cls, plain: list[tuple]) -> Model:
+        model = cls({})
+        model.languages, model.tables = [p[0] for p in plain], [Table(*p[1:]) for p in plain]
+        return model
 
     def lengths(self, text: bytes) -> np.ndarray:
         """Exact code length of the text under each language, in bits."""
-        total = np.zeros(len(self.languages))
-        flat = self.bits.reshape(-1, len(self.languages))
+        total = np.zeros(len(self.tables))
+        whole = np.frombuffer(text, np.uint8)
         for start in range(0, len(text), CHUNK):
-            before = text[max(0, start - 3) : start]
-            s = self.symbol[np.frombuffer(text[start : start + CHUNK], np.uint8)]
-            s = np.concatenate([np.zeros(3 - len(before), np.int64), self.symbol[np.frombuffer(before, np.uint8)], s])
-            row = self.row[(s[:-3] * self.size + s[1:-2]) * self.size + s[2:-1]]
-            total += flat[row.astype(np.int64) * self.size + s[3:]].sum(axis=0, dtype=np.float64)
+            before, part = text[max(0, start - 3) : start], whole[start : start + CHUNK]
+            total += [t.length(before, part) for t in self.tables]
         return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its posterior under equal priors; ``und``, 0 if there is no letter."""
-        if not text or not self.languages or not LETTER.search(text):
+        """The language and its posterior under equal priors; ``und``, 0 if there is no
+        letter (Unicode category L)."""
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         bits = self.lengths(text.encode("utf-8", "surrogatepass"))
         best = int(np.argmin(bits))  # ties: the first language by name
@@ -132,15 +151,13 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     """A model from the rows that are not held out and have a language and a text."""
     order = F.xxhash64(F.lit(folds), F.col(doc_id).cast("string"))
     rows = docs.where(~held_out(doc_id, folds) & F.col(lang).isNotNull())
-    rows = rows.select(F.col(lang).alias("_lang"), order.alias("_order"), F.col(text).cast("string").alias("_text"))
-    counts = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
-        return Model({})
-    # one scan: of each language, the part of the hash range that holds twice the sample
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["_lang"], min(1.0, 2.0 * sample / r["count"]))])
+    # of a sampled text at most so many characters as all samples of a language may have bytes
+    rows = rows.select(F.col(lang).alias("_lang"), order.alias("_order"), F.substring(F.col(text).cast("string"), 1, sample_bytes).alias("_text"))
+    counts = rows.groupBy("_lang").agg(F.least(F.lit(1.0), F.lit(2.0 * sample) / F.count("*")).alias("_share"))
+    # of each language, the part of the hash range that holds twice the sample
     place = (F.col("_order").cast("double") + 2.0**63) / 2.0**64
     first = Window.partitionBy("_lang").orderBy("_order", "_text")
-    some = rows.where((place <= share[F.col("_lang")]) & (F.octet_length("_text") > 0))
+    some = rows.join(counts, "_lang").where((place <= F.col("_share")) & (F.octet_length("_text") > 0))
     some = some.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample)
     so_far = F.coalesce(F.sum(F.octet_length("_text")).over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     picked = some.withColumn("_before", so_far).where(F.col("_before") < sample_bytes).collect()  # bounded by the sample
@@ -154,13 +171,15 @@ def predict(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
     """``doc_id, lang_pred, score`` for every row: the score is the posterior probability
     of the language among those learned (0 where the prediction is ``und``).
 
-    Null and empty texts and texts without letters give ``und``; repeated rows
-    stay repeated; without any training text every prediction is ``und``.
+    Null and empty texts and texts without letters give ``und``; very long texts are
+    scored whole, a part at a time; of languages with equal lengths (a tie) the first
+    by name wins; repeated rows stay repeated; other columns are ignored; without any
+    training text every prediction is ``und``; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = Model.of(shared.value)
         for batch in batches:
             found = [known.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
