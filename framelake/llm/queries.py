@@ -3,13 +3,14 @@ production parameters over whole tables, and DuckDB SQL where it can say the sam
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html, language, mixing, quality, sharding, simhash, sites, substring, urls
-from .common import table
+from .common import shared_dir, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +38,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.reshard(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    placed = sharding.reshard(docs.select("doc_id", "text"), carry=True)
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    sharding.rewrite_affected(placed, path)
+    schema = placed.withColumnRenamed("_doc", "doc").schema
+    files = spark.read.schema(schema).parquet(path) if len(docs.head(1)) else spark.createDataFrame([], schema)
+    body = F.coalesce("doc.text", F.lit(""))  # the digests are those of the files' texts
+    size = (F.octet_length(body) + 8).cast("long").alias("size")
+    return files.select("doc.doc_id", size, F.crc32(body).alias("text_crc32"), "law", "shard", "slot", "grown_shard", "old_shard", "moved")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +66,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_hit = decontaminate.hit_words()
     return marked.select(
         "doc_id",
+        F.col("_decon_longest").alias("longest"),
         F.col("_decon_words").alias("n_words"),
         n_hit.alias("n_hit"),
         F.size("_decon_items").cast("long").alias("n_items"),
@@ -149,17 +159,19 @@ FROM m WHERE k = 1
 OP8_SQL = r"""
 WITH low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 d AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
-b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-bw AS (SELECT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS k
-       FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+b AS (SELECT item_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT item_id, r, i AS j, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS k
+       FROM (SELECT item_id, r, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
 ln AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ln WHERE len(w) >= n)),
-h AS (SELECT doc_id, i, dw.n AS n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.k = bw.k),
+h AS (SELECT doc_id, i, dw.n AS n, item_id, r, j FROM dw JOIN bw ON dw.n = bw.n AND dw.k = bw.k),
+g AS (SELECT doc_id, r, i - j AS diagonal, n, i - row_number() OVER (PARTITION BY doc_id, r, i - j ORDER BY i) AS island FROM h),
+m AS (SELECT doc_id, max(c) AS longest FROM (SELECT doc_id, count(*) + n - 1 AS c FROM g GROUP BY doc_id, r, diagonal, n, island) GROUP BY doc_id),
 c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
 t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS items FROM h GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0) AS longest
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 

@@ -18,7 +18,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import delete_folder, quoted
 
 #: Size classes to a doubling of the size.
 CLASSES = 4
@@ -118,29 +118,30 @@ def reshard(
     shards: int = 24,
     old_shards: int = 16,
     old_shard: str | None = None,
-    carry: tuple[str, ...] = (),
+    carry: bool = False,
 ) -> DataFrame:
     """One row a document: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``,
-    then ``old_shard`` and ``moved`` and the columns named in ``carry``.
+    then ``old_shard`` and ``moved``, and with ``carry`` the document's row as the struct ``_doc``.
 
     ``size`` is the UTF-8 bytes of the text plus 8. The old layout is the column
     ``old_shard`` (non-negative integers) or else a hash of the id over
     ``old_shards`` shards. Null texts count as empty, null ids as one id,
     repeated rows are rows of their own (each takes a slot), an empty table
-    gives an empty result. Equal sizes are ranked by id hash, id and CRC.
+    gives an empty result. Very long texts are rows like others; equal sizes (ties) are
+    ranked by a hash of id and text, id and CRC. Other columns never meet those here.
     """
     spark = docs.sparkSession
-    body = text_or_empty(text)
-    key = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
-    was = F.coalesce(F.col(old_shard).cast("int"), F.lit(0)) if old_shard else (F.crc32(key) % old_shards).cast("int")
+    body = F.coalesce(F.col(quoted(text)), F.lit(""))
+    key = F.coalesce(F.col(quoted(doc_id)).cast("string"), F.lit("null"))
+    was = F.coalesce(F.col(quoted(old_shard)).cast("int"), F.lit(0)) if old_shard else (F.crc32(key) % old_shards).cast("int")
     size = (F.octet_length(body) + 8).cast("long")
     rows = docs.select(
-        F.col(doc_id).alias("doc_id"),
+        F.col(quoted(doc_id)).alias("doc_id"),
         size.alias("size"),
         F.crc32(body).alias("text_crc32"),
         was.alias("old_shard"),
         F.xxhash64(key, body).alias("_hash"),
-        *[F.col(c) for c in carry],
+        *([F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns]).alias("_doc")] if carry else []),
     ).withColumn("_class", F.floor(F.log2(F.col("size").cast("double")) * CLASSES).cast("int"))
 
     totals = [tuple(r) for r in rows.groupBy("old_shard", "_class").agg(F.count("*"), F.sum("size")).collect()]
@@ -185,21 +186,32 @@ def reshard(
         F.lit(None).cast("int").alias("grown_shard"),
         "old_shard",
         (F.col("old_shard") != F.col("shard")).alias("moved"),
-        *carry,
+        *(["_doc"] if carry else []),
     )
 
 
-def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
-    """Write the new contents of every shard that gains or loses rows below
-    ``path/shard=N`` and return those shard numbers; other shards' files stay.
+def rewrite_affected(placed: DataFrame, path: str) -> list[int]:
+    """Bring the shard folders ``path/shard=N`` up to ``placed``, the result of ``reshard``
+    with ``carry``, and return the shards written or emptied.
 
-    ``placed`` is the result of ``reshard`` over ``docs`` (unique ids).
+    Those are the shards that gain or lose rows, and those that have no folder yet; the
+    files of others stay as they are. A shard's new files replace its old ones. Rows come
+    in the order of their slots, with the struct ``doc`` and the columns of the placement;
+    nothing is joined, so repeated ids and null ids keep all their rows. ``placed`` must
+    not be read from ``path``: write it elsewhere first (``common.staged``).
     """
-    gains = placed.where("moved").select(F.col("shard").alias("s"))
-    losses = placed.where("moved").select(F.col("old_shard").alias("s"))
-    shards = sorted(r["s"] for r in gains.union(losses).distinct().collect())  # at most one number a shard
-    if shards:
-        where = placed.where(F.col("shard").isin(shards)).select("doc_id", "shard", "slot")
-        files = docs.join(where, "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-        files.write.mode("append").partitionBy("shard").parquet(path)
-    return shards
+    spark = placed.sparkSession
+    held = placed.select("shard", "old_shard", "moved").groupBy("shard", "old_shard").agg(F.max("moved").alias("moved")).collect()  # a row a pair of shards
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = {int(f.getPath().getName()[6:]) for f in fs.listStatus(folder) if f.getPath().getName().startswith("shard=")} if fs.exists(folder) else set()
+    now = {r["shard"] for r in held}
+    affected = {r["shard"] for r in held if r["moved"]} | {r["old_shard"] for r in held if r["moved"]} | (now - there) | (there - now)
+    if affected & now:
+        rows = placed.where(F.col("shard").isin(sorted(affected & now))).withColumnRenamed("_doc", "doc")
+        rows = rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+        files = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+        files.partitionBy("shard").parquet(path)
+    for shard in sorted(affected - now):
+        delete_folder(spark, f"{path}/shard={shard}")
+    return sorted(affected)
