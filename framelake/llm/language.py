@@ -157,7 +157,8 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     # of each language, the part of the hash range that holds twice the sample
     place = (F.col("_order").cast("double") + 2.0**63) / 2.0**64
     first = Window.partitionBy("_lang").orderBy("_order", "_text")
-    some = rows.join(counts, "_lang").where((place <= F.col("_share")) & (F.octet_length("_text") > 0))
+    # one row a language, as the model itself has a table for each: the texts stay where they are
+    some = rows.join(F.broadcast(counts), "_lang").where((place <= F.col("_share")) & (F.octet_length("_text") > 0))
     some = some.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample)
     so_far = F.coalesce(F.sum(F.octet_length("_text")).over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     picked = some.withColumn("_before", so_far).where(F.col("_before") < sample_bytes).collect()  # bounded by the sample
