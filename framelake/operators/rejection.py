@@ -17,9 +17,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Passes after which an iterative rule stops.
-PASSES = 8
-
 
 # ---- closed form, as columns over array<double> ----
 
@@ -74,7 +71,8 @@ def _deviation(x: np.ndarray, keep: np.ndarray) -> np.ndarray:
 
 
 def _passes(x, keep, centre_and_spread, low, high):
-    for _ in range(PASSES):
+    """Passes until one rejects nothing or would leave fewer than three samples; each rejects one at least."""
+    while True:
         centre, spread = centre_and_spread(x, keep)
         out = keep & ((centre[:, None] - x > low * spread[:, None]) | (x - centre[:, None] > high * spread[:, None]))
         make = out.any(axis=1) & ((keep & ~out).sum(axis=1) >= 3)
@@ -100,8 +98,9 @@ def mad(x, keep, low=3.0, high=3.0):
 
 
 def sigma_median(x, keep, low=2.0, high=2.0):
-    """Outliers are replaced by the median, until there is none; the count stays."""
-    for _ in range(PASSES):
+    """Outliers are replaced by the median, until there is none; the count stays.
+    The spread shrinks with every pass."""
+    while True:
         centre, spread = _median(x, keep), _deviation(x, keep)
         out = keep & ((centre[:, None] - x > low * spread[:, None]) | (x - centre[:, None] > high * spread[:, None]))
         out &= (keep.sum(axis=1) >= 3)[:, None]
@@ -136,7 +135,7 @@ def winsorized(x, keep, low=3.0, high=3.0):
 
 def linear_fit(x, keep, low=5.0, high=2.5):
     """Sorted samples are regressed on their rank; the spread is the mean absolute residual."""
-    for _ in range(PASSES):
+    while True:
         n = keep.sum(axis=1)
         order = np.argsort(np.where(keep, x, np.inf), axis=1, kind="stable")
         rank = np.empty_like(order)

@@ -113,8 +113,12 @@ k AS (SELECT {t}.*, n < 3 OR m = 0 OR NOT (m - v > 0.2::DOUBLE * m OR v - m > 0.
 SELECT {k}, round(avg(v) FILTER (WHERE keep), 9) AS v, CAST(count(*) FILTER (WHERE NOT keep) AS INTEGER) AS n_rejected FROM k GROUP BY {k}"""
 
 
-def passes_sql(t: str, k: str, spread: str, low: float, high: float, passes: int = rejection.PASSES) -> str:
-    """Unrolled passes of a symmetric rule; ``spread`` is sd or mad."""
+#: Passes in the SQL that checks the iterative rules; the rules themselves go on until nothing changes.
+SQL_PASSES = 40
+
+
+def passes_sql(t: str, k: str, spread: str, low: float, high: float, passes: int = SQL_PASSES) -> str:
+    """Unrolled passes of a symmetric rule; ``spread`` is sd or mad. Passes after the last that rejects change nothing."""
     parts = [f"p0 AS (SELECT {k}, frame_id, v FROM {t} WHERE v <> 0)"]
     for i in range(passes):
         p, mad = f"p{i}", ""
@@ -131,7 +135,7 @@ SELECT {k}, round(f.v, 9) AS v, CAST(a.n - f.n AS INTEGER) AS n_rejected
 FROM (SELECT {k}, avg(v) AS v, count(*) AS n FROM {last} GROUP BY {k}) f JOIN (SELECT {k}, count(*) AS n FROM p0 GROUP BY {k}) a USING ({k})"""
 
 
-def sigmedian_sql(t: str, k: str, passes: int = rejection.PASSES) -> str:
+def sigmedian_sql(t: str, k: str, passes: int = SQL_PASSES) -> str:
     parts = [f"p0 AS (SELECT {k}, frame_id, v FROM {t} WHERE v <> 0)"]
     for i in range(passes):
         parts.append(f"m{i} AS (SELECT {k}, median(v) AS m, coalesce(stddev_samp(v), 0) AS sd, count(*) AS n FROM p{i} GROUP BY {k})")

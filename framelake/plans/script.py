@@ -362,8 +362,8 @@ def _rgbcomp(s, c):
 
 @command("linear_match", 2, 2)
 def _linear_match(s, c):
-    """The first image scaled and shifted to the second's median and deviation."""
-    a, b = (s.named(n) for n in c.args)
+    """The second image scaled and shifted to the first's median and deviation."""
+    b, a = (s.named(n) for n in c.args)
     ea, eb = (stacking.estimators(p.withColumn("frame_id", F.lit(0).cast("long"))) for p in (a, b))
     j = ea.select("c", F.col("location").alias("l"), F.col("scale").alias("sc")).join(eb.select("c", F.col("location").alias("l0"), F.col("scale").alias("s0")), "c")
     k = F.when(F.col("sc") != 0, F.col("s0") / F.col("sc")).otherwise(1.0)
