@@ -4,7 +4,7 @@ A *window* is ``WINDOW`` consecutive words of one document. Its fingerprint is a
 64-bit hash and a check of 32 bits of an independent hash: a match of the first is
 verified by the second. Both hash all words of the window, so however common a line
 is, the windows around it are spread evenly; among the 10^13 windows of 100 TB the
-96 bits make 0.001 false matches to be expected.
+96 bits make about 0.002 false matches to be expected.
 
 The index is a list of immutable runs of fingerprints. A run is kept in ``SHARDS``
 folders; a shard's rows are *cells*, ranges of the hash with their fingerprints
