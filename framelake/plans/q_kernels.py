@@ -225,17 +225,8 @@ def dark_scale(spark, d):
 
 # ---- background, fits, detection ----
 
-def field(spark, d):
-    """A 128 x 128 mosaic of 256 frames."""
-    p = views.px(spark, d).where("frame_id < 256")
-    return p.select(
-        F.lit(0).cast("long").alias("frame_id"), F.lit(0).alias("c"),
-        (F.col("x") + 8 * (F.col("frame_id") % 16)).cast("int").alias("x"), (F.col("y") + 8 * F.floor(F.col("frame_id") / 16)).cast("int").alias("y"),
-        (F.col("v") + (F.col("frame_id") % 16) / 100.0).alias("v"))
-
-
 def fields(spark, d):
-    """All frames: a mosaic as ``field`` of every 256, numbered by ``frame_id``."""
+    """All frames: a 128 x 128 mosaic of every 256, numbered by ``frame_id``."""
     k = F.col("frame_id") % 256
     return views.px(spark, d).select(
         F.floor(F.col("frame_id") / 256).cast("long").alias("frame_id"), F.lit(0).alias("c"),
@@ -243,41 +234,21 @@ def fields(spark, d):
         (F.col("v") + (k % 16) / 100.0).alias("v"))
 
 
-FIELD = PX + ", field AS (SELECT x + 8 * (frame_id % 16) AS x, y + 8 * (frame_id // 16) AS y, v + (frame_id % 16) / 100.0::DOUBLE AS v FROM px WHERE frame_id < 256)"
-
-
-@query("bg_samples", f"""WITH {FIELD}, m AS (SELECT median(v) AS m FROM field), p AS (SELECT x // 8 AS i, y // 8 AS j, median(v) AS v FROM field GROUP BY 1, 2), dd AS (SELECT median(abs(v - m)) AS d FROM p, m)
-SELECT i * 8 + 3.5::DOUBLE AS cx, j * 8 + 3.5::DOUBLE AS cy, round(v, 9) AS v FROM p, m, dd WHERE v > 0 AND v <= m + 1.5::DOUBLE * d""")
-def bg_samples(spark, d):
-    return fitting.background_samples(field(spark, d), 8, 1.5).withColumn("v", F.round("v", 9))
-
-
-@query("bg_poly", f"""WITH {FIELD}, s AS (SELECT x // 8 * 8 + 3.5::DOUBLE AS cx, y // 8 * 8 + 3.5::DOUBLE AS cy, median(v) AS v FROM field GROUP BY 1, 2)
-SELECT count(*) AS n, round(sum(cx), 6) AS sx, round(sum(cy), 6) AS sy, round(sum(cx * cx), 4) AS sxx, round(sum(cx * cy), 4) AS sxy, round(sum(cx * v), 6) AS sxv FROM s""")
-def bg_poly(spark, d):
-    """The sums of the normal equations of the first-degree background."""
-    s = fitting.background_samples(field(spark, d), 8, 1e9)
-    t = fitting.polynomial_terms(F.col("cx"), F.col("cy"), 1)
-    r = fitting.normal_equations(s, t, F.col("v"))
-    return r.select(F.col("a0_0").cast("long").alias("n"), F.round("a0_1", 6).alias("sx"), F.round("a0_2", 6).alias("sy"), F.round("a1_1", 4).alias("sxx"), F.round("a1_2", 4).alias("sxy"), F.round("b1", 6).alias("sxv"))
-
-
 FIELDS = PX + """, fields AS (SELECT frame_id // 256 AS frame_id, x + 8 * (frame_id % 256 % 16) AS x, y + 8 * (frame_id % 256 // 16) AS y,
   v + (frame_id % 256 % 16) / 100.0::DOUBLE AS v FROM px)"""
 
 
-@query("bg_samples_whole", f"""WITH {FIELDS}, m AS (SELECT frame_id, median(v) AS m FROM fields GROUP BY frame_id), p AS (SELECT frame_id, x // 8 AS i, y // 8 AS j, median(v) AS v FROM fields GROUP BY 1, 2, 3),
+@query("bg_samples", f"""WITH {FIELDS}, m AS (SELECT frame_id, median(v) AS m FROM fields GROUP BY frame_id), p AS (SELECT frame_id, x // 8 AS i, y // 8 AS j, median(v) AS v FROM fields GROUP BY 1, 2, 3),
 dd AS (SELECT frame_id, median(abs(v - m)) AS d FROM p JOIN m USING (frame_id) GROUP BY frame_id)
 SELECT frame_id, i * 8 + 3.5::DOUBLE AS cx, j * 8 + 3.5::DOUBLE AS cy, round(v, 9) AS v FROM p JOIN m USING (frame_id) JOIN dd USING (frame_id) WHERE v > 0 AND v <= m + 1.5::DOUBLE * d""")
-def bg_samples_whole(spark, d):
-    """``bg_samples`` of every mosaic."""
+def bg_samples(spark, d):
     return fitting.background_samples_by(fields(spark, d), 8, 1.5, ["frame_id"]).withColumn("v", F.round("v", 9))
 
 
-@query("bg_poly_whole", f"""WITH {FIELDS}, s AS (SELECT frame_id, x // 8 * 8 + 3.5::DOUBLE AS cx, y // 8 * 8 + 3.5::DOUBLE AS cy, median(v) AS v FROM fields GROUP BY 1, 2, 3)
+@query("bg_poly", f"""WITH {FIELDS}, s AS (SELECT frame_id, x // 8 * 8 + 3.5::DOUBLE AS cx, y // 8 * 8 + 3.5::DOUBLE AS cy, median(v) AS v FROM fields GROUP BY 1, 2, 3)
 SELECT frame_id, count(*) AS n, round(sum(cx), 6) AS sx, round(sum(cy), 6) AS sy, round(sum(cx * cx), 4) AS sxx, round(sum(cx * cy), 4) AS sxy, round(sum(cx * v), 6) AS sxv FROM s GROUP BY frame_id""")
-def bg_poly_whole(spark, d):
-    """``bg_poly`` of every mosaic."""
+def bg_poly(spark, d):
+    """The sums of the normal equations of each mosaic's first-degree background."""
     s = fitting.background_samples_by(fields(spark, d), 8, 1e9, ["frame_id"])
     t = fitting.polynomial_terms(F.col("cx"), F.col("cy"), 1)
     r = fitting.normal_equations(s, t, F.col("v"), ["frame_id"])

@@ -39,22 +39,24 @@ FROM {view} p JOIN {view} q ON p.id < q.id JOIN {view} r ON q.id < r.id),
 {name} AS (SELECT s[1].id AS a, s[2].id AS b, s[3].id AS c, s[2].len / s[1].len AS ba, s[3].len / s[1].len AS ca FROM {name}1 WHERE s[1].len > 0 AND s[2].len / s[1].len <= 0.9::DOUBLE)"""
 
 
-@query("triangle_votes", f"""WITH {STARS}, ta AS (SELECT id, x, y FROM stars_a WHERE id < 20), tb AS (SELECT id, x * 1.001::DOUBLE + 3 AS x, y * 1.001::DOUBLE - 2 AS y FROM stars_a WHERE id < 24), {_tri('ta', 'l')}, {_tri('tb', 'r')},
+@query("triangle_votes", f"""WITH {STARS}, ta AS (SELECT id, x, y FROM stars_a ORDER BY flux DESC, id LIMIT 20), tb AS (SELECT id, x * 1.001::DOUBLE + 3 AS x, y * 1.001::DOUBLE - 2 AS y FROM stars_a ORDER BY flux DESC, id LIMIT 24), {_tri('ta', 'l')}, {_tri('tb', 'r')},
 h AS (SELECT l.a AS a1, l.b AS b1, l.c AS c1, r.a AS a2, r.b AS b2, r.c AS c2 FROM l JOIN r ON pow(l.ba - r.ba, 2) + pow(l.ca - r.ca, 2) < 0.0004::DOUBLE * 0.0004::DOUBLE)
 SELECT left_id, right_id, count(*) AS votes FROM (SELECT a1 AS left_id, a2 AS right_id FROM h UNION ALL SELECT b1, b2 FROM h UNION ALL SELECT c1, c2 FROM h) GROUP BY 1, 2""")
 def triangle_votes(spark, d):
-    s = views.stars(spark, d, "a").select("id", "x", "y")
-    moved = s.where("id < 24").select("id", (F.col("x") * 1.001 + 3).alias("x"), (F.col("y") * 1.001 - 2).alias("y"))
-    return spatial.triangle_votes(s.where("id < 20"), moved, 0.0004)
+    """Votes between the brightest stars of two lists: 20 of one, 24 of the other."""
+    s = views.stars(spark, d, "a").orderBy(F.desc("flux"), "id")
+    moved = s.limit(24).select("id", (F.col("x") * 1.001 + 3).alias("x"), (F.col("y") * 1.001 - 2).alias("y"))
+    return spatial.triangle_votes(s.limit(20).select("id", "x", "y"), moved, 0.0004)
 
 
-@query("aperture_flux", f"""WITH {PX}, f AS (SELECT x + 8 * (frame_id % 16) AS x, y + 8 * (frame_id // 16 % 16) AS y, v FROM px WHERE frame_id < 256), {STARS},
-s AS (SELECT id, x / 16 AS x, y / 16 AS y FROM stars_a WHERE id < 400)
+@query("aperture_flux", f"""WITH {PX}, f AS (SELECT x + 8 * (frame_id % 256) AS x, y + 8 * (frame_id // 256) AS y, v FROM px), {STARS},
+s AS (SELECT id, x, y * 8 * (SELECT max(vec_id) // 256 + 1 FROM embeddings) / 2000 AS y FROM stars_a)
 SELECT id, round(sum(v), 7) AS flux, count(*) AS n FROM s JOIN f ON f.x BETWEEN round(s.x) - 4 AND round(s.x) + 4 AND f.y BETWEEN round(s.y) - 4 AND round(s.y) + 4 AND pow(f.x - s.x, 2) + pow(f.y - s.y, 2) <= 9 GROUP BY id""")
 def aperture_flux(spark, d):
-    p = views.px(spark, d).where("frame_id < 256")
-    field = p.select((F.col("x") + 8 * (F.col("frame_id") % 16)).cast("int").alias("x"), (F.col("y") + 8 * (F.floor(F.col("frame_id") / 16) % 16)).cast("int").alias("y"), "v")
-    s = views.stars(spark, d, "a").where("id < 400").select("id", (F.col("x") / 16).alias("x"), (F.col("y") / 16).alias("y"))
+    """All frames in one mosaic, 256 to a row, and all stars spread over its height."""
+    field = views.px(spark, d).select((F.col("x") + 8 * (F.col("frame_id") % 256)).cast("int").alias("x"), (F.col("y") + 8 * F.floor(F.col("frame_id") / 256)).cast("int").alias("y"), "v")
+    rows = views.table(spark, d, "embeddings").agg((F.floor(F.max("vec_id") / 256) + 1).alias("rows"))  # one row
+    s = views.stars(spark, d, "a").crossJoin(F.broadcast(rows)).select("id", "x", (F.col("y") * 8 * F.col("rows") / 2000).alias("y"))
     return spatial.aperture_sums(s, field, 3.0).select("id", F.round("flux", 7).alias("flux"), "n")
 
 

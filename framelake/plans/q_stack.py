@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelake.operators import rejection, stacking, statistics
-from framelake.plans import registry, views
+from framelake.plans import views
 from framelake.plans.registry import query
 
 PX, RGB, DEPTH, FRAMES = views.PX, views.RGB, views.DEPTH, views.FRAMES
@@ -193,26 +193,15 @@ SELECT x, y, c, round(avg({_expr}), 9) AS mean, round(max({_expr}), 9) AS top FR
     )
 
 
-@query("norm_overlap", f"""WITH {PX}, a AS (SELECT frame_id, x, y, v FROM px WHERE frame_id < 40),
+@query("norm_overlap", f"""WITH {PX}, a AS (SELECT frame_id, x, y, v FROM px),
 o AS (SELECT r.frame_id, r.v AS v, q.v AS v0 FROM a r JOIN a q ON q.frame_id = 0 AND q.x = r.x + (r.frame_id % 3) AND q.y = r.y + (r.frame_id % 2) WHERE r.v <> 0 AND q.v <> 0)
 SELECT frame_id, count(*) AS n, round(median(v) - median(v0), 9) AS off FROM o GROUP BY frame_id HAVING count(*) >= 3""")
 def norm_overlap(spark, d):
-    a = views.px(spark, d).where("frame_id < 40 AND v != 0")
-    ref = a.where("frame_id = 0").select("x", "y", F.col("v").alias("v0"))
-    moved = a.select("frame_id", (F.col("x") + F.col("frame_id") % 3).cast("int").alias("x"), (F.col("y") + F.col("frame_id") % 2).cast("int").alias("y"), "v")
-    o = moved.join(F.broadcast(ref), ["x", "y"]).groupBy("frame_id").agg(F.count("*").alias("n"), F.round(F.median("v") - F.median("v0"), 9).alias("off"))
-    return o.where("n >= 3")
-
-
-@query("norm_overlap_whole", f"""WITH {PX}, a AS (SELECT frame_id, x, y, v FROM px),
-o AS (SELECT r.frame_id, r.v AS v, q.v AS v0 FROM a r JOIN a q ON q.frame_id = 0 AND q.x = r.x + (r.frame_id % 3) AND q.y = r.y + (r.frame_id % 2) WHERE r.v <> 0 AND q.v <> 0)
-SELECT frame_id, count(*) AS n, round(median(v) - median(v0), 9) AS off FROM o GROUP BY frame_id HAVING count(*) >= 3""")
-def norm_overlap_whole(spark, d):
-    """``norm_overlap`` for all frames."""
+    """Offset of each frame against frame 0 where they overlap."""
     a = views.px(spark, d).where("v != 0")
     ref = a.where("frame_id = 0").select("x", "y", F.col("v").alias("v0"))
     moved = a.select("frame_id", (F.col("x") + F.col("frame_id") % 3).cast("int").alias("x"), (F.col("y") + F.col("frame_id") % 2).cast("int").alias("y"), "v")
-    o = moved.join(F.broadcast(ref), ["x", "y"]).groupBy("frame_id").agg(F.count("*").alias("n"), F.round(F.median("v") - F.median("v0"), 9).alias("off"))
+    o = moved.join(ref, ["x", "y"]).groupBy("frame_id").agg(F.count("*").alias("n"), F.round(F.median("v") - F.median("v0"), 9).alias("off"))
     return o.where("n >= 3")
 
 
@@ -382,46 +371,22 @@ def ikss_lite(spark, d):
     return rounded(statistics.ikss_lite(views.px(spark, d).select("frame_id", "v"), ["frame_id"]), "location", "scale")
 
 
-SMALL = "s AS (SELECT pixel, v, xx FROM (SELECT pixel, v, row_number() OVER (PARTITION BY pixel ORDER BY frame_id, v) AS xx FROM depth) WHERE pixel % 25 = 0 AND xx <= 20)"
-
-
-def small_samples(spark, d):
-    """Twenty samples of every 25th pixel: what pairwise statistics are meant for."""
-    from pyspark.sql import Window
-
-    p = views.depth(spark, d).where("pixel % 25 = 0")
-    p = p.withColumn("xx", F.row_number().over(Window.partitionBy("pixel").orderBy("frame_id", "v")))
-    return p.where("xx <= 20").select("pixel", "v", "xx")
+ALL_SAMPLES = "s AS (SELECT pixel, v, row_number() OVER (PARTITION BY pixel ORDER BY frame_id, v) AS xx FROM depth)"
 
 
-@query("qn_robust_mean", f"""WITH {DEPTH}, {SMALL}, st AS (SELECT pixel, count(*) AS n, median(v) AS m FROM s GROUP BY pixel),
+@query("qn_robust_mean", f"""WITH {DEPTH}, {ALL_SAMPLES}, st AS (SELECT pixel, count(*) AS n, median(v) AS m FROM s GROUP BY pixel),
 r AS (SELECT pixel, v, row_number() OVER (PARTITION BY pixel ORDER BY v) AS i FROM s),
 p AS (SELECT a.pixel, abs(a.v - b.v) AS d, row_number() OVER (PARTITION BY a.pixel ORDER BY abs(a.v - b.v)) AS k FROM r a JOIN r b ON a.pixel = b.pixel AND a.i < b.i),
 q AS (SELECT pixel, 2.2219::DOUBLE * d AS qn FROM p JOIN st USING (pixel) WHERE k = (n // 2 + 1) * (n // 2) // 2)
 SELECT pixel, round(avg(v), 9) AS mean, count(*) AS n_kept FROM r JOIN st USING (pixel) LEFT JOIN q USING (pixel)
 WHERE CASE WHEN n < 5 THEN i - 1 >= floor(n * 0.3::DOUBLE) AND i - 1 < n - floor(n * 0.3::DOUBLE) ELSE abs(v - m) <= 3 * qn END GROUP BY pixel""")
 def qn_robust_mean(spark, d):
-    return rounded(statistics.qn_robust_mean(small_samples(spark, d).select("pixel", "v"), ["pixel"]), "mean")
+    return rounded(statistics.qn_robust_means(views.depth(spark, d), ["pixel"]), "mean")
 
 
-@query("repeated_median", f"""WITH {DEPTH}, {SMALL},
+@query("repeated_median", f"""WITH {DEPTH}, {ALL_SAMPLES},
 sl AS (SELECT a.pixel, a.xx AS xa, median((b.v - a.v) / (b.xx - a.xx)) AS s FROM s a JOIN s b ON a.pixel = b.pixel AND a.xx <> b.xx GROUP BY a.pixel, a.xx),
 m AS (SELECT pixel, median(s) AS slope FROM sl GROUP BY pixel)
 SELECT pixel, round(any_value(slope), 9) AS slope, round(median(v - slope * xx), 9) AS intercept FROM s JOIN m USING (pixel) GROUP BY pixel""")
 def repeated_median(spark, d):
-    return rounded(statistics.repeated_median(small_samples(spark, d), ["pixel"]), "slope", "intercept")
-
-
-ALL_SAMPLES = "s AS (SELECT pixel, v, row_number() OVER (PARTITION BY pixel ORDER BY frame_id, v) AS xx FROM depth)"
-
-
-@query("qn_robust_mean_whole", registry._SQL["qn_robust_mean"].replace(SMALL, ALL_SAMPLES))
-def qn_robust_mean_whole(spark, d):
-    """``qn_robust_mean`` over all samples of all pixels."""
-    return rounded(statistics.qn_robust_means(views.depth(spark, d), ["pixel"]), "mean")
-
-
-@query("repeated_median_whole", registry._SQL["repeated_median"].replace(SMALL, ALL_SAMPLES))
-def repeated_median_whole(spark, d):
-    """``repeated_median`` over all samples of all pixels."""
     return rounded(statistics.repeated_medians(views.depth(spark, d), ["pixel"], "frame_id"), "slope", "intercept")

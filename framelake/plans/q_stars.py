@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from framelake.operators import curves, fitting, stars, statistics
 from framelake.plans import views
-from framelake.plans.q_kernels import FIELD, FIELDS, field, fields
+from framelake.plans.q_kernels import FIELDS, fields
 from framelake.plans.registry import query
 
 PX, STARS, CAT = views.PX, views.STARS, views.CAT
@@ -55,12 +55,13 @@ def frame_quality(spark, d):
     return q.select("frame_id", "n", *[F.round(k, 9).alias(k) for k in ("fwhm", "roundness", "wfwhm")], F.round("quality", 6).alias("quality"))
 
 
-@query("mask_star", f"""WITH {STARS}, s AS (SELECT x / 16 AS sx, y / 16 AS sy, 2.5::DOUBLE * (0.8::DOUBLE + id % 3) AS r FROM stars_a WHERE id < 60), g AS (SELECT a.i AS x, b.j AS y FROM (SELECT CAST(unnest(range(0, 125)) AS INTEGER) AS i) a, (SELECT CAST(unnest(range(0, 125)) AS INTEGER) AS j) b),
-m AS (SELECT x, y, sqrt(pow(x - sx, 2) + pow(y - sy, 2)) AS d, r FROM g JOIN s ON abs(x - sx) <= 2 * r AND abs(y - sy) <= 2 * r)
+@query("mask_star", f"""WITH {STARS}, s AS (SELECT x AS sx, y AS sy, 2.5::DOUBLE * (0.8::DOUBLE + id % 3) AS r FROM stars_a),
+a AS (SELECT *, CAST(unnest(range(CAST(ceil(sx - 2 * r) AS BIGINT), CAST(floor(sx + 2 * r) AS BIGINT) + 1)) AS INTEGER) AS x FROM s), g AS (SELECT *, CAST(unnest(range(CAST(ceil(sy - 2 * r) AS BIGINT), CAST(floor(sy + 2 * r) AS BIGINT) + 1)) AS INTEGER) AS y FROM a),
+m AS (SELECT x, y, sqrt(pow(x - sx, 2) + pow(y - sy, 2)) AS d, r FROM g WHERE x BETWEEN 0 AND 1999 AND y BETWEEN 0 AND 1999)
 SELECT x, y, round(max(CASE WHEN d < r THEN 1 ELSE 1 - (d - r) / r END), 9) AS m FROM m WHERE d < 2 * r GROUP BY x, y HAVING round(max(CASE WHEN d < r THEN 1 ELSE 1 - (d - r) / r END), 9) > 0""")
 def mask_star(spark, d):
-    s = views.stars(spark, d, "a").where("id < 60").select((F.col("x") / 16).alias("x"), (F.col("y") / 16).alias("y"), (0.8 + F.col("id") % 3).alias("radius"))
-    return stars.star_mask(s, 125, 125).select("x", "y", F.round("m", 9).alias("m")).where("m > 0")
+    s = views.stars(spark, d, "a").select("x", "y", (0.8 + F.col("id") % 3).alias("radius"))
+    return stars.star_mask(s, 2000, 2000).select("x", "y", F.round("m", 9).alias("m")).where("m > 0")
 
 
 @query("brush_median", f"""WITH {PX}, r AS (SELECT frame_id, median(v) AS fill FROM px WHERE pow(x - 4, 2) + pow(y - 3, 2) > 2.25 AND pow(x - 4, 2) + pow(y - 3, 2) <= 9 GROUP BY frame_id)
@@ -83,7 +84,7 @@ def fix_lines(spark, d):
 @query("plate_solve", "SELECT 1.01::DOUBLE AS a, 0.02::DOUBLE AS b, 12.0::DOUBLE AS c, -0.02::DOUBLE AS d, 1.01::DOUBLE AS e, -7.0::DOUBLE AS f")
 def plate_solve(spark, d):
     """An image of catalog stars under a known map; the map is found again."""
-    image = views.stars(spark, d, "a").where("id < 120").withColumn("flux", F.col("flux") + F.col("id") / 1000.0)
+    image = views.stars(spark, d, "a").withColumn("flux", F.col("flux") + F.col("id") / 1000.0)
     cat = image.select("id", (1.01 * F.col("x") + 0.02 * F.col("y") + 12).alias("x"), (-0.02 * F.col("x") + 1.01 * F.col("y") - 7).alias("y"), "flux")
     m = stars.match_catalog(image, cat, stars=14, radius=0.0005)
     flat = [round(float(v), 4) + 0.0 for v in (m if m is not None else np.full((2, 3), np.nan)).ravel()]
@@ -154,14 +155,8 @@ def stack_metadata(spark, d):
     return t.join(k, "grp").select("grp", "stack_count", "exposure", "date_obs", "key", "first_value")
 
 
-@query("gradient_fit", f"""WITH {FIELD} SELECT round(regr_slope(v, x), 9) AS gx, round(regr_slope(v, y), 9) AS gy FROM field""")
+@query("gradient_fit", f"""WITH {FIELDS} SELECT frame_id, round(regr_slope(v, x), 9) AS gx, round(regr_slope(v, y), 9) AS gy FROM fields GROUP BY frame_id""")
 def gradient_fit(spark, d):
-    return field(spark, d).agg(F.round(F.regr_slope("v", "x"), 9).alias("gx"), F.round(F.regr_slope("v", "y"), 9).alias("gy"))
-
-
-@query("gradient_fit_whole", f"""WITH {FIELDS} SELECT frame_id, round(regr_slope(v, x), 9) AS gx, round(regr_slope(v, y), 9) AS gy FROM fields GROUP BY frame_id""")
-def gradient_fit_whole(spark, d):
-    """``gradient_fit`` of every mosaic."""
     return fields(spark, d).groupBy("frame_id").agg(F.round(F.regr_slope("v", "x"), 9).alias("gx"), F.round(F.regr_slope("v", "y"), 9).alias("gy"))
 
 

@@ -29,7 +29,7 @@ def event_sessions(spark, d):
 
 
 SCRIPT = """
-# stack ten frames, stretch the result
+# stack the frames, stretch the result
 set low 0.45
 stack lights --method=median -nonorm --out=result
 thresh ${low} 0.6
@@ -41,12 +41,12 @@ crop 1 1 6 6
 """
 
 
-@query("script_stack", f"""WITH {PX}, m AS (SELECT x, y, median(nullif(v, 0)) AS v FROM px WHERE frame_id < 10 GROUP BY x, y),
+@query("script_stack", f"""WITH {PX}, m AS (SELECT x, y, median(nullif(v, 0)) AS v FROM px GROUP BY x, y),
 t AS (SELECT 7 - x AS x, y, (1 - CASE WHEN v < 0.45::DOUBLE THEN 0.0::DOUBLE WHEN v > 0.6::DOUBLE THEN 1.0::DOUBLE ELSE v END + 0.1::DOUBLE) * 0.5::DOUBLE AS v FROM m)
 SELECT x - 1 AS x, y - 1 AS y, round(v, 9) AS v FROM t WHERE x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6""")
 def script_stack(spark, d):
     s = script.Session(spark)
-    s.sequences["lights"] = views.px(spark, d).where("frame_id < 10").drop("label")
+    s.sequences["lights"] = views.px(spark, d).drop("label")
     return script.run(SCRIPT, s).current.select("x", "y", F.round("v", 9).alias("v"))
 
 

@@ -159,7 +159,9 @@ def read_votable(xml: DataFrame, text: str, fields: dict[str, tuple[str, ...]])
     heads = [F.expr(f"xpath({text}, '//FIELD/@{a}')") for a in ("name", "ID", "ucd")]
     cells = F.split(text, r"<TR>")
     body = F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0)))
-    df = xml.select(*[h.alias(f"_h{k}") for k, h in enumerate(heads)], F.posexplode(body).alias("row", "_tr"))
+    named = [f"_h{k}" for k in range(3)]
+    df = xml.select(*[h.alias(n) for n, h in zip(named, heads)], body.alias("_body"))  # once a document, not once a row
+    df = df.select(*named, F.posexplode("_body").alias("row", "_tr"))
     td = F.transform(F.regexp_extract_all("_tr", F.lit(r"<TD\s*/>|<TD>([^<]*)</TD>"), 1), lambda c: F.trim(c))
     df = df.withColumn("_td", td)
     out = []

@@ -30,7 +30,7 @@ def folder(spark, tmp_path_factory):
 
 def test_qn_of_every_pixel(spark, folder):
     path, samples = folder
-    got = {r["pixel"]: (r["mean"], r["n_kept"]) for r in registry.queries()["qn_robust_mean_whole"](spark, path).collect()}
+    got = {r["pixel"]: (r["mean"], r["n_kept"]) for r in registry.queries()["qn_robust_mean"](spark, path).collect()}
     assert got.keys() == samples.keys()
     for pixel, vs in samples.items():
         n, s = len(vs), sorted(vs)
@@ -44,7 +44,7 @@ def test_qn_of_every_pixel(spark, folder):
 
 def test_repeated_median_of_every_pixel(spark, folder):
     path, samples = folder
-    got = {r["pixel"]: (r["slope"], r["intercept"]) for r in registry.queries()["repeated_median_whole"](spark, path).collect()}
+    got = {r["pixel"]: (r["slope"], r["intercept"]) for r in registry.queries()["repeated_median"](spark, path).collect()}
     assert got.keys() == {p for p, vs in samples.items() if len(vs) > 1}
     for pixel in got:
         at = list(enumerate(samples[pixel], 1))
@@ -54,7 +54,7 @@ def test_repeated_median_of_every_pixel(spark, folder):
 
 def test_overlap_of_every_frame(spark, folder):
     path, _ = folder
-    assert sorted(r["frame_id"] for r in registry.queries()["norm_overlap_whole"](spark, path).collect()) == list(range(90))
+    assert sorted(r["frame_id"] for r in registry.queries()["norm_overlap"](spark, path).collect()) == list(range(90))
 
 
 @pytest.fixture(scope="module")
@@ -67,7 +67,7 @@ def two_mosaics(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["bg_samples_whole", "bg_poly_whole", "gradient_fit_whole", "bg_removed", "bg_rbf", "star_detect", "psf_fit", "colour_surface"])
+@pytest.mark.parametrize("name", ["bg_samples", "bg_poly", "gradient_fit", "bg_removed", "bg_rbf", "star_detect", "psf_fit", "colour_surface"])
 def test_every_mosaic_is_in_the_result(spark, two_mosaics, name):
     assert {r["frame_id"] for r in registry.queries()[name](spark, two_mosaics).select("frame_id").collect()} == {0, 1}
 
@@ -75,9 +75,9 @@ def test_every_mosaic_is_in_the_result(spark, two_mosaics, name):
 def test_mosaics_are_fitted_by_themselves(spark, two_mosaics):
     """The first mosaic's results are those of the operators on that mosaic alone."""
     from framelake.operators import fitting
-    from framelake.plans.q_kernels import field
+    from framelake.plans.q_kernels import fields
 
-    img = field(spark, two_mosaics)
+    img = fields(spark, two_mosaics).where("frame_id = 0")
     same = lambda df, name: (
         {(r["x"], r["y"]): pytest.approx(r["v"], abs=1e-6) for r in df.collect()}
         == {(r["x"], r["y"]): r["v"] for r in registry.queries()[name](spark, two_mosaics).where("frame_id = 0").collect()})
