@@ -52,6 +52,18 @@ def keep_percentile(df: DataFrame, values: str, low: float, high: float) -> Data
     return df.withColumn(values, F.when(F.size(values) < 3, F.col(values)).otherwise(kept)).drop("_med")
 
 
+def keep_mask(df: DataFrame, rule: str, keys: list[str], **options) -> DataFrame:
+    """``keys, values, kept``: any rule as a flag for each of the ``values``, which the rule may change."""
+    if rule not in ("modz", "percentile"):
+        return reject(df, rule, keys, **options)
+    fn = keep_modified_z if rule == "modz" else keep_percentile
+    done = fn(df.select(*keys, "values", F.col("values").alias("_all")), "values", **options)
+    # both rules test a value against limits: what they keep lies in one range
+    lo, hi = F.array_min("values"), F.array_max("values")
+    inside = F.zip_with("_all", F.array_repeat(F.struct(lo.alias("lo"), hi.alias("hi")), F.size("_all")), lambda v, r: F.coalesce((v >= r["lo"]) & (v <= r["hi"]), F.lit(False)))
+    return done.select(*keys, F.col("_all").alias("values"), inside.alias("kept"))
+
+
 # ---- iterative, on matrices of (pixel, sample) with a mask of survivors ----
 
 def _median(x: np.ndarray, keep: np.ndarray) -> np.ndarray:

@@ -45,6 +45,33 @@ def stack_weighted(px: DataFrame, weights: DataFrame, keys: tuple[str, ...] = PI
     return sums.select(*keys, F.when(F.col("w") > 0, F.col("wv") / F.when(F.col("w") > 0, F.col("w"))).otherwise(F.col("m")).alias("v"))
 
 
+def stack_kept(px: DataFrame, rule: str, keys: tuple[str, ...] = PIXEL, **options) -> DataFrame:
+    """``keys, v``: mean of the samples that a rule keeps, weighted by column ``w`` of each
+    sample; where the weights of what is kept sum to 0, the plain mean."""
+    some = px.select(*keys, "frame_id", no_data().alias("v"), F.col("w").cast("double").alias("w")).where("v IS NOT NULL")
+    if rule == "none":
+        sums = some.groupBy(*keys).agg(F.sum(F.col("w") * F.col("v")).alias("wv"), F.sum("w").alias("w"), F.avg("v").alias("m"))
+        return sums.select(*keys, F.when(F.col("w") > 0, F.col("wv") / F.when(F.col("w") > 0, F.col("w"))).otherwise(F.col("m")).alias("v"))
+    lists = some.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("frame_id", "v", "w"))).alias("s"))
+    df = lists.select(*keys, F.transform("s", lambda s: s["v"]).alias("values"), F.transform("s", lambda s: s["w"]).alias("weights"))
+    done = rejection.keep_mask(df, rule, [*keys, "weights"], **options)
+    one = F.zip_with("values", "weights", lambda v, w: F.struct(v.alias("v"), w.alias("w")))
+    kept = F.filter(F.zip_with(one, "kept", lambda p, k: F.when(k, p)), lambda p: p.isNotNull())
+    done = done.select(*keys, kept.alias("s"))
+    total = F.aggregate("s", F.lit(0.0), lambda a, p: a + p["w"])
+    weighted = F.aggregate("s", F.lit(0.0), lambda a, p: a + p["w"] * p["v"])
+    plain = F.aggregate("s", F.lit(0.0), lambda a, p: a + p["v"]) / F.when(F.size("s") > 0, F.size("s"))
+    return done.select(*keys, F.when(total > 0, weighted / F.when(total > 0, total)).otherwise(plain).alias("v"))
+
+
+def edge_weights(px: DataFrame, distance: float) -> DataFrame:
+    """Column ``w`` times the smooth fall-off towards the edges of the sample's own frame, whose
+    box is taken from its pixels (one row a frame is joined), so shifted frames fade where they end."""
+    box = px.groupBy("frame_id").agg(*[f(k).alias(f"_{n}{k}") for k in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))])
+    edge = F.least(F.col("x") - F.col("_lox"), F.col("_hix") - F.col("x"), F.col("y") - F.col("_loy"), F.col("_hiy") - F.col("y"))
+    return px.join(box, "frame_id").withColumn("w", F.col("w") * smoothstep(edge / F.lit(float(distance)))).drop("_lox", "_hix", "_loy", "_hiy")
+
+
 def smoothstep(t: Column) -> Column:
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
     return t * t * (3.0 - 2.0 * t)
@@ -158,7 +185,8 @@ def normalize(px: DataFrame, coef: DataFrame, mode: str) -> DataFrame:
 # ---- weights and frame selection ----
 
 def weights(frames: DataFrame, kind: str) -> DataFrame:
-    """``frame_id, w`` with a mean weight of 1."""
+    """``frame_id, w`` with a mean weight of 1. Noise weights take the frame's normalization
+    factor from a column ``scale`` if there is one."""
     if kind in ("fwhm", "wfwhm"):
         ends = frames.where("fwhm > 0").agg(F.min("fwhm").alias("lo"), F.max("fwhm").alias("hi"))
         inv = lambda c: 1.0 / (F.col(c) * F.col(c))
@@ -173,8 +201,9 @@ def weights(frames: DataFrame, kind: str) -> DataFrame:
         f = frames.crossJoin(F.broadcast(ends))
     else:
         f = frames
+        noise = F.col("noise") * F.col("scale") if "scale" in f.columns else F.col("noise") if "noise" in f.columns else F.lit(0.0)
         w = {
-            "noise": F.when(F.col("noise") > 0, 1.0 / F.when(F.col("noise") > 0, F.col("noise") * F.col("noise"))).otherwise(1.0),
+            "noise": F.when(noise > 0, 1.0 / F.when(noise > 0, noise * noise)).otherwise(1.0),
             "roundness": F.greatest(F.lit(0.1), F.col("roundness")),
             "quality": F.greatest(F.lit(0.01), F.col("quality")),
         }[kind]

@@ -112,6 +112,7 @@ class Session:
     sequences: dict[str, DataFrame] = field(default_factory=dict)
     current: DataFrame | None = None
     cards: list[codecs.Card] = field(default_factory=list)
+    uncropped: dict[str, DataFrame] = field(default_factory=dict)
     masters: dict[str, DataFrame] = field(default_factory=dict)
     variables: dict[str, str] = field(default_factory=dict)
 
@@ -239,14 +240,15 @@ def _setmaster(s, c):
 
 @command("calibrate", 1, 1)
 def _calibrate(s, c):
-    """Bias, dark and flat masters are joined on the position."""
+    """Bias, then dark, then flat: masters are joined on the position. ``-dark_scale`` multiplies
+    the dark (made without bias, to be scaled), ``-pedestal`` is added with it, ``-pattern`` names the filter."""
     masters = dict(s.masters) | {k: s.named(v) for k, v in c.options.items() if k in ("bias", "dark", "flat") and v}
     px = s.named(c.args[0])
-    for kind in ("dark", "bias") if "dark" in masters else ("bias",):
+    pattern = c.options.get("pattern", "RGGB").upper()
+    for kind, factor, pedestal in (("bias", 1.0, 0.0), ("dark", options_float(c, "dark_scale", 1.0), options_float(c, "pedestal", 0.0))):
         if kind in masters:
             m = masters[kind].select("x", "y", "c", F.col("v").alias("m"))
-            px = px.join(m, ["x", "y", "c"]).withColumn("v", F.col("v") - F.col("m")).drop("m")
-            break
+            px = px.join(m, ["x", "y", "c"]).withColumn("v", F.col("v") - factor * F.col("m") + pedestal).drop("m")
     if "flat" in masters:
         f = masters["flat"].select("x", "y", "c", F.col("v").alias("m"))
         mean = f.groupBy("c").agg(F.avg("m").alias("mean"))
@@ -255,9 +257,9 @@ def _calibrate(s, c):
     if "cc" in c.options:
         px = kernels.cosmetic(px, 3.0, 3.0).drop("fixed")
     if "equalize_cfa" in c.options:
-        px = kernels.cfa_equalize(px, "RGGB", *size(px))
+        px = kernels.cfa_equalize(px, pattern, *size(px))
     if "debayer" in c.options:
-        px = _wide_to_long(kernels.demosaic_bilinear(px, "RGGB"))
+        px = _wide_to_long(kernels.demosaic_bilinear(px, pattern))
     s.sequences["pp_" + c.args[0]] = px.select("frame_id", "x", "y", "c", "v")
 
 
@@ -298,11 +300,15 @@ def _register(s, c):
     px = s.named(c.args[0])
     d = fitting.detect(px.where("c = 0"), options_float(c, "sigma", 3.0))
     centre = d.groupBy("frame_id").agg((F.sum(F.col("x") * F.col("flux")) / F.sum("flux")).alias("cx"), (F.sum(F.col("y") * F.col("flux")) / F.sum("flux")).alias("cy"))
-    ref = centre.agg(F.min_by(F.struct("cx", "cy"), "frame_id").alias("r")).select("r.cx", "r.cy").toDF("rx", "ry")
-    moves = centre.crossJoin(F.broadcast(ref)).select("frame_id", F.round(F.col("rx") - F.col("cx")).cast("int").alias("dx"), F.round(F.col("ry") - F.col("cy")).cast("int").alias("dy"))
+    known = centre.where("cx IS NOT NULL")
+    ref = known.agg(F.min_by(F.struct("cx", "cy"), "frame_id").alias("r")).select("r.cx", "r.cy").toDF("rx", "ry")
+    # a frame without a detection stays where it is
+    centre = px.select("frame_id").distinct().join(centre, "frame_id", "left")
+    moves = centre.crossJoin(F.broadcast(ref)).select("frame_id", F.coalesce(F.round(F.col("rx") - F.col("cx")).cast("int"), F.lit(0)).alias("dx"), F.coalesce(F.round(F.col("ry") - F.col("cy")).cast("int"), F.lit(0)).alias("dy"))
     w, h = size(px)
     moved = px.join(moves, "frame_id").withColumns({"x": F.col("x") + F.col("dx"), "y": F.col("y") + F.col("dy")}).drop("dx", "dy")
     s.sequences["r_" + c.args[0]] = moved.where(F.col("x").between(0, w - 1) & F.col("y").between(0, h - 1))
+    s.uncropped["r_" + c.args[0]] = moved
 
 
 @command("seqapplyreg", 1, 1)
@@ -312,29 +318,48 @@ def _seqapplyreg(s, c):
 
 @command("stack", 1, 8)
 def _stack(s, c):
+    """Normalize, reject, weight and combine. ``--maximize`` takes registered frames whole (the
+    canvas starts at their least position), ``--drizzle`` (``--scale``, ``--pixfrac``) and ``--fast``
+    lay them on a finer grid instead of a rule; ``--feather`` fades frames towards their edges."""
     px = s.named(c.args[0])
+    if "maximize" in c.options and c.args[0] in s.uncropped:
+        px = s.uncropped[c.args[0]]
+        low = px.agg(F.min("x").alias("_lx"), F.min("y").alias("_ly"))  # one row
+        px = px.crossJoin(F.broadcast(low)).withColumns({"x": F.col("x") - F.col("_lx"), "y": F.col("y") - F.col("_ly")}).drop("_lx", "_ly")
     words = [a for a in c.args[1:] if not re.fullmatch(r"[\d.]+", a)]
     method = c.options.get("method") or next((w for w in words if w in ("sum", "mean", "median", "max", "min")), "mean")
     if method not in ("sum", "mean", "median", "max", "min"):
         raise ScriptError(f"line {c.line}: no method {method}")
     rejection = REJECTIONS.get(c.options.get("rejection", "winsorized").lower(), "winsorized")
-    limits = [float(a) for a in c.args[1:] if re.fullmatch(r"[\d.]+", a)]
+    limits = [float(a) for a in c.args[1:] + c.options.get("rej", "").split() if re.fullmatch(r"[\d.]+", a)]
+    limits = limits * 2 if len(limits) == 1 else limits
     norm = None if "nonorm" in c.options else NORMS.get(c.options.get("norm", "addscale").lower(), "addscale")
-    weighting = WEIGHTS.get(c.options.get("weighting", "none").lower())
+    weighting = WEIGHTS.get(c.options.get("weighting", "noise").lower(), "noise")
+    distance = options_float(c, "feather", 0.0) if c.options.get("feather") else 0.0
+    fine = "drizzle" in c.options or "fast" in c.options or "fast_drizzle" in c.options
     stacking.require_frames(px)
     if norm and method in ("mean", "median"):
         ref = px.agg(F.min("frame_id")).first()[0]
         px = stacking.normalize(px, stacking.coefficients(stacking.estimators(px), ref, norm), norm)
-    if method == "mean" and rejection != "none":
+    if fine:
+        scale = options_float(c, "scale", 2.0)
+        if scale < 1:
+            raise ScriptError(f"line {c.line}: a scale of {scale}")
+        if "drizzle" in c.options:
+            out = kernels.drizzle(px, scale, options_float(c, "pixfrac", 0.9), lambda frame: (0.0, 0.0)).drop("w")
+        else:
+            out = stacking.fast_drizzle(px, scale, F.lit(0.0), F.lit(0.0)).select(F.col("ox").alias("x"), F.col("oy").alias("y"), "c", "v")
+    elif method == "mean":
         options = {"low": limits[0], "high": limits[1]} if len(limits) > 1 and rejection not in ("gesd", "biweight", "modz") else {"low": 0.2, "high": 0.1} if rejection == "percentile" else {}
-        out = stacking.stack_rejected(px, rejection, **options).drop("n_rejected")
-    elif method == "mean" and weighting:
-        f = px.groupBy("frame_id").agg(F.median("v").alias("background"), F.stddev_samp("v").alias("noise"), F.count_if(F.col("v") > 0.55).alias("stars"))
-        f = f.withColumns({"fwhm": F.lit(1.0) + F.col("noise"), "quality": 1.0 / F.greatest(F.col("noise"), F.lit(1e-9))})
-        out = stacking.stack_weighted(px, stacking.weights(f, weighting))
+        px = px.withColumn("w", F.lit(1.0))
+        if weighting:
+            px = px.drop("w").join(stacking.weights(_measured(px), weighting), "frame_id")
+        out = stacking.stack_kept(stacking.edge_weights(px, distance) if distance > 0 else px, rejection, **options)
     else:
         out = stacking.stack(px, method)
     out = out.withColumn("frame_id", F.lit(0).cast("long")).select("frame_id", "x", "y", "c", "v")
+    if "rgb_equal" in c.options:
+        out = _equalized(out)
     if "output_norm" in c.options:
         out = stacking.output_normalize(out)
     s.current = out
@@ -342,6 +367,20 @@ def _stack(s, c):
     s.sequences[re.sub(r"\.\w+$", "", name)] = out
 
 
+def _measured(px: DataFrame) -> DataFrame:
+    """One row a frame, measured after normalization, so that noise has its factor already."""
+    f = px.groupBy("frame_id").agg(F.median("v").alias("background"), F.stddev_samp("v").alias("noise"), F.count_if(F.col("v") > 0.55).alias("stars"))
+    return f.withColumns({"fwhm": F.lit(1.0) + F.col("noise"), "quality": 1.0 / F.greatest(F.col("noise"), F.lit(1e-9))})
+
+
+def _equalized(img: DataFrame) -> DataFrame:
+    """Red and blue of a colour image brought to green's median; a grey image stays as it is."""
+    if img.agg(F.max("c")).first()[0] != 2:
+        return img
+    wide = img.groupBy("frame_id", "x", "y").agg(*[F.max(F.when(F.col("c") == k, F.col("v"))).alias(n) for k, n in enumerate("rgb")])
+    return _wide_to_long(stacking.equalize_rgb(wide)).where("v IS NOT NULL")
+
+
 @command("autostack", 1, 1)
 def _autostack(s, c):
     _convert(s, Command("convert", [c.args[0]], c.options, c.line))
@@ -395,13 +434,15 @@ def _background(s, c):
 
 @command("seqsubsky", 1, 2)
 def _seqsubsky(s, c):
-    """Each frame's plane of patch medians is subtracted; sums of all frames in one aggregate."""
-    px = s.named(c.args[0])
-    patches = px.groupBy("frame_id", "c", F.floor(F.col("x") / 8).alias("i"), F.floor(F.col("y") / 8).alias("j")).agg(F.median("v").alias("m"))
-    level = patches.groupBy("frame_id", "c").agg(F.median("m").alias("level"))
-    whole = level.groupBy("c").agg(F.avg("level").alias("mean"))
-    j = px.join(level, ["frame_id", "c"]).join(F.broadcast(whole), "c")
-    s.sequences["bkg_" + c.args[0]] = j.withColumn("v", F.col("v") - F.col("level") + F.col("mean")).select("frame_id", "x", "y", "c", "v")
+    """Each frame's polynomial background of the given degree (1) is subtracted and its mean
+    added back; all frames' fits come from one aggregate."""
+    try:
+        degree = int(c.args[1]) if len(c.args) > 1 else 1
+    except ValueError:
+        raise ScriptError(f"line {c.line}: a degree of {c.args[1]!r}") from None
+    px, by = s.named(c.args[0]), ["frame_id", "c"]
+    samples = fitting.background_samples_by(px, 8, 3.0, by)
+    s.sequences["bkg_" + c.args[0]] = fitting.remove_background_by(px, samples, degree, by).select("frame_id", "x", "y", "c", "v")
 
 
 def _flatten(img: DataFrame, degree: int) -> DataFrame:
