@@ -29,6 +29,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of text in an Arrow batch.
 ARROW_ROWS = 500
 
+#: The folder of each local application without a setting.
+_local_dirs: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -40,8 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="framelake-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        # the setting is fixed once a session runs, so the folder is remembered here
+        app = spark.sparkContext.applicationId
+        found = _local_dirs.get(app) or "file://" + tempfile.mkdtemp(prefix="framelake-")
+        _local_dirs[app] = found
     return found.rstrip("/")
 
 
