@@ -144,7 +144,9 @@ def links(docs: DataFrame, classes: DataFrame, width: int, similarity: float, bl
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: (k != own) | (F.col("blocks") == 1))
     dealt = dealt.select("fp", "root", own.alias("own"), F.explode(others).alias("other"))
     dealt = dealt.select("fp", "root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    texts = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    # one way to join at every size: the ids of loose groups grow with the documents
+    reps = members.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
+    texts = docs.join(reps, "doc_id", "left_semi").select("text")
     sets = texts.mapInArrow(_sets(width), "fp long, shingles array<long>").dropDuplicates(["fp"])
     return dealt.join(sets, "fp").groupBy("root", "p", "q").applyInArrow(_confirmed(similarity), "a long, b long")
 

@@ -206,12 +206,14 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
     found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
     roots = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_stay")).agg(F.count("*").alias("n"))
     roots = staged(roots, "near-stay")
-    whole = packed(docs, _id=F.col(quoted(doc_id)).cast("long"), _text=text)
-    mine = F.col("_id") == F.col("_stay")
-    once = whole.join(roots.where("n = 1"), mine, "left_semi")
+    whole = packed(docs, _id=F.col(quoted(doc_id)).cast("long"))
+    # both branches read one shuffle of the rows, at every size of the survivors' ids
+    stay = whole.join(roots.hint("merge"), F.col("_id") == F.col("_stay"))
+    once = stay.where("n = 1").select("_doc")
     # texts are compared only where an id is there more than once
-    more = whole.join(roots.where("n > 1"), mine, "left_semi").dropDuplicates(["_id", "_text"])
-    return once.unionByName(more).unionByName(whole.where("_id IS NULL")).select("_doc.*")
+    more = stay.where("n > 1").withColumn("_text", F.col("_doc." + quoted(text)))
+    more = more.dropDuplicates(["_id", "_text"]).select("_doc")
+    return once.unionByName(more).unionByName(whole.where("_id IS NULL").select("_doc")).select("_doc.*")
 
 
 def component_ids(prints: DataFrame, radius: int, sketch_bits: int = 128) -> DataFrame:
