@@ -526,3 +526,34 @@ def six_equalize(px: DataFrame) -> DataFrame:
     m = cell.groupBy(*KEYS).agg(*[F.avg(F.when(F.col("s") == k, F.col("m"))).alias(n) for k, n in enumerate(("mg", "mr", "mb"))])
     f = F.when((F.col("s") == 1) & (F.col("mr") > 1e-9), F.col("mg") / F.col("mr")).when((F.col("s") == 2) & (F.col("mb") > 1e-9), F.col("mg") / F.col("mb")).otherwise(1.0)
     return s.join(m, KEYS).withColumn("v", F.col("v") * f).drop("s", "mr", "mg", "mb")
+
+
+#: Same-colour neighbours that a repair looks at, in row order, and its limit in sigmas: fixed values.
+REPAIR_NEIGHBOURS, REPAIR_SIGMAS = 24, 8.0
+
+
+def repair_six(a: np.ndarray, y0: int, x0: int) -> np.ndarray:
+    """Values of a six-by-six array whose corner is at ``y0, x0``: one farther than eight
+    sigmas from the median of its first same-colour neighbours within three pixels becomes
+    that median. Sigma is 1.4826 times the mean distance to the median, at least 1e-6;
+    the three outer rows and columns stay, and all values are judged as they came in."""
+    out, r = a.copy(), 3
+    steps = [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dy or dx]
+    for py in range(6):
+        for px in range(6):
+            ys = np.arange(r + (py - y0 - r) % 6, a.shape[0] - r, 6)
+            xs = np.arange(r + (px - x0 - r) % 6, a.shape[1] - r, 6)
+            if not len(ys) or not len(xs):
+                continue
+            same = [(dy, dx) for dy, dx in steps if SIX[(py + dy) % 6][(px + dx) % 6] == SIX[py][px]]
+            near = np.stack([a[np.ix_(ys + dy, xs + dx)] for dy, dx in same[:REPAIR_NEIGHBOURS]])
+            middle = np.median(near, axis=0)
+            sigma = np.maximum(1.4826 * np.abs(near - middle).mean(axis=0), 1e-6)
+            own = a[np.ix_(ys, xs)]
+            out[np.ix_(ys, xs)] = np.where(np.abs(own - middle) > REPAIR_SIGMAS * sigma, middle, own)
+    return out
+
+
+def six_repair(px: DataFrame, tile: int = TILE) -> DataFrame:
+    """Outliers of a six-by-six filter array repaired (``repair_six``)."""
+    return tiled(px, lambda a, y0, x0: {"v": repair_six(a, y0, x0)}, 3, ["v"], tile)

@@ -37,6 +37,19 @@ def row_noise(px: DataFrame) -> DataFrame:
     return rows.groupBy("frame_id").agg((0.7071 * upper_median(F.col("s"))).alias("noise"))
 
 
+def robust_sigma(df: DataFrame, by: list[str]) -> DataFrame:
+    """``by, sigma``: 1.4826 times the upper median of the distances to the upper median.
+    Where that is 0, the population deviation; at least 1e-6. Values that are not finite
+    don't count; a group without others has 1e-6."""
+    upper = lambda c: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c} DESC)")
+    clean = df.select(*by, F.when(~F.isnan("v") & (F.abs("v") < float("inf")), F.col("v")).alias("v"))
+    centre = clean.groupBy(*by).agg(upper("v").alias("m"), F.stddev_pop("v").alias("s"))
+    away = clean.join(centre, by).withColumn("d", F.abs(F.col("v") - F.col("m")))
+    found = away.groupBy(*by).agg(upper("d").alias("mad"), F.first("s").alias("s"))
+    sigma = F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).when(F.col("s") > 0, F.col("s")).otherwise(1e-6)
+    return found.select(*by, sigma.alias("sigma"))
+
+
 def ikss_lite(df: DataFrame, by: list[str]) -> DataFrame:
     """``by, location, scale``: values within six deviations of the median are kept; the
     scale is 0.991 times the root of their biweight midvariance."""

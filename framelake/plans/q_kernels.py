@@ -321,3 +321,12 @@ m AS (SELECT frame_id, avg(m) FILTER (WHERE s = 0) AS mg, avg(m) FILTER (WHERE s
 SELECT frame_id, x, y, round(v * CASE WHEN s = 1 AND mr > 1e-9 THEN mg / mr WHEN s = 2 AND mb > 1e-9 THEN mg / mb ELSE 1 END, 9) AS v FROM s6 JOIN m USING (frame_id)""")
 def six_equalize(spark, d):
     return rounded(kernels.six_equalize(views.px(spark, d)), "v")
+
+
+@query("six_repair", f"""WITH {PX}, {SIX}, n AS (SELECT a.frame_id, a.x, a.y, a.v, b.v AS w, row_number() OVER (PARTITION BY a.frame_id, a.x, a.y ORDER BY b.y, b.x) AS k
+FROM s6 a JOIN s6 b ON a.frame_id = b.frame_id AND a.s = b.s AND abs(a.x - b.x) <= 3 AND abs(a.y - b.y) <= 3 AND (a.x <> b.x OR a.y <> b.y) WHERE a.x BETWEEN 3 AND 4 AND a.y BETWEEN 3 AND 4),
+m AS (SELECT frame_id, x, y, median(w) AS m FROM n WHERE k <= {kernels.REPAIR_NEIGHBOURS} GROUP BY 1, 2, 3),
+s AS (SELECT frame_id, x, y, any_value(m) AS m, greatest(1.4826::DOUBLE * avg(abs(w - m)), 0.000001::DOUBLE) AS s FROM n JOIN m USING (frame_id, x, y) WHERE k <= {kernels.REPAIR_NEIGHBOURS} GROUP BY 1, 2, 3)
+SELECT frame_id, x, y, round(CASE WHEN abs(v - m) > 8 * s THEN m ELSE v END, 9) AS v FROM px LEFT JOIN s USING (frame_id, x, y)""")
+def six_repair(spark, d):
+    return rounded(kernels.six_repair(views.px(spark, d)), "v")

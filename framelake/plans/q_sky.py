@@ -49,17 +49,34 @@ def triangle_votes(spark, d):
     return spatial.triangle_votes(s.limit(20).select("id", "x", "y"), moved, 0.0004)
 
 
+def _field(spark, d):
+    """All frames in one mosaic, 256 to a row."""
+    row = F.floor(F.col("frame_id") / 256)
+    return views.px(spark, d).select((F.col("x") + 8 * (F.col("frame_id") % 256)).cast("int").alias("x"), (F.col("y") + 8 * row).cast("int").alias("y"), "v")
+
+
+def _spread_stars(spark, d):
+    """All stars, spread over the mosaic's height."""
+    rows = views.table(spark, d, "embeddings").agg((F.floor(F.max("vec_id") / 256) + 1).alias("rows"))  # one row
+    return views.stars(spark, d, "a").crossJoin(F.broadcast(rows)).select("id", "x", (F.col("y") * 8 * F.col("rows") / 2000).alias("y"))
+
+
 @query("aperture_flux", f"""WITH {PX}, f AS (SELECT x + 8 * (frame_id % 256) AS x, y + 8 * (frame_id // 256) AS y, v FROM px), {STARS},
 s AS (SELECT id, x, y * 8 * (SELECT max(vec_id) // 256 + 1 FROM embeddings) / 2000 AS y FROM stars_a)
 SELECT id, round(sum(v), 7) AS flux, count(*) AS n FROM s JOIN f ON f.x BETWEEN round(s.x) - 4 AND round(s.x) + 4 AND f.y BETWEEN round(s.y) - 4 AND round(s.y) + 4 AND pow(f.x - s.x, 2) + pow(f.y - s.y, 2) <= 9 GROUP BY id""")
 def aperture_flux(spark, d):
-    """All frames in one mosaic, 256 to a row, and all stars spread over its height."""
-    field = views.px(spark, d).select((F.col("x") + 8 * (F.col("frame_id") % 256)).cast("int").alias("x"), (F.col("y") + 8 * F.floor(F.col("frame_id") / 256)).cast("int").alias("y"), "v")
-    rows = views.table(spark, d, "embeddings").agg((F.floor(F.max("vec_id") / 256) + 1).alias("rows"))  # one row
-    s = views.stars(spark, d, "a").crossJoin(F.broadcast(rows)).select("id", "x", (F.col("y") * 8 * F.col("rows") / 2000).alias("y"))
+    s, field = _spread_stars(spark, d), _field(spark, d)
     return spatial.aperture_sums(s, field, 3.0).select("id", F.round("flux", 7).alias("flux"), "n")
 
 
+@query("annulus_photometry")
+def annulus_photometry(spark, d):
+    """Net signals of the stars of ``aperture_flux``: the sky is a robust mean, which has no SQL."""
+    s = _spread_stars(spark, d).withColumn("radius", F.lit(4.0))
+    found = spatial.annulus_photometry(s, _field(spark, d), 6.0, 10.0)
+    return found.select("id", F.round("signal", 7).alias("signal"), F.round("area", 7).alias("area"), F.round("sky", 9).alias("sky"), "n_sky")
+
+
 @query("dedupe_objects", f"""WITH {CAT} SELECT id FROM cat a WHERE NOT EXISTS (SELECT 1 FROM cat b WHERE b.id < a.id AND abs(a.ra - b.ra) < 3 AND abs(a.dec - b.dec) < 3)""")
 def dedupe_objects(spark, d):
     return spatial.dedupe(views.catalog(spark, d).withColumn("ord", F.col("id")), 3.0).select("id")

@@ -328,6 +328,14 @@ def stat_robust_median(spark, d):
     return j.groupBy("label").agg(F.round(F.median("v"), 9).alias("v"))
 
 
+@query("stat_robust_sigma", f"""WITH {PX}, r AS (SELECT frame_id, v, row_number() OVER (PARTITION BY frame_id ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY frame_id) AS n FROM px),
+m AS (SELECT frame_id, v AS m FROM r WHERE i = n // 2), a AS (SELECT frame_id, v, abs(v - m) AS d FROM px JOIN m USING (frame_id)),
+o AS (SELECT frame_id, d, row_number() OVER (PARTITION BY frame_id ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY frame_id) AS n, stddev_pop(v) OVER (PARTITION BY frame_id) AS s FROM a)
+SELECT frame_id, round(CASE WHEN d > 0 THEN 1.4826::DOUBLE * d WHEN s > 0 THEN s ELSE 0.000001::DOUBLE END, 9) AS sigma FROM o WHERE i = n // 2""")
+def stat_robust_sigma(spark, d):
+    return rounded(statistics.robust_sigma(views.px(spark, d).select("frame_id", "v"), ["frame_id"]), "sigma")
+
+
 @query("stat_lower_half", f"""WITH {PX}, m AS (SELECT label, median(v) AS m FROM px GROUP BY label),
 l AS (SELECT label, v FROM px JOIN m USING (label) WHERE v <= m), lm AS (SELECT label, median(v) AS lm FROM l GROUP BY label)
 SELECT label, round(1.4826::DOUBLE * median(abs(v - lm)), 9) AS sigma FROM l JOIN lm USING (label) GROUP BY label""")
