@@ -220,6 +220,34 @@ def test_urls(spark):
     assert urls.judge(pages, pattern_rules=[]).where("url_verdict = 'block' AND url_rule IS NULL").count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [0, 50_000])
+def test_urls_with_thousands_of_rules(spark, monkeypatch, broadcast):
+    """Each URL meets few rules of many, and the verdicts are those of trying them all."""
+    monkeypatch.setattr(urls, "BROADCAST_RULES", broadcast)
+    rng = random.Random(13)
+    own = [urls.SiteRule("block" if k % 2 else "allow", f"h{k % 700}.net", f"/d{k}/" if k % 3 else "/") for k in range(2000)]
+    words = [urls.word_rule("block" if k % 5 else "allow", "common", f"w{k}") for k in range(1500)]
+    data = [f"http://{rng.choice(['', 'www.', 'x'])}h{rng.randrange(900)}.net/{rng.choice(['', 'common-w', 'd'])}{rng.randrange(2500)}/{rng.choice(['', 'z', 'common_w77'])}" for _ in range(400)]
+    data += ["http://www.h4.net/d4/" + "common/" * 1_000 + "w3", None]
+    pages = spark.createDataFrame(list(enumerate(data)), "page_id long, url string")
+
+    def brute(u):
+        host, path = re.match(r"http://([^/]*)(.*)", u, re.S).groups() if u else ("", "")
+        fits = [r for r in own if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        if fits:
+            best = max(fits, key=lambda r: (len(r.name), r.name, r.verdict))
+            return best.name, best.verdict
+        return None, next((r.verdict for r in words if re.search(r.pattern, u or "")), "allow")
+
+    got = {r["page_id"]: (r["url_rule"], r["url_verdict"]) for r in urls.judge(pages, site_rules=own, pattern_rules=words).collect()}
+    want = {i: brute(u) for i, u in enumerate(data)}
+    assert got == want
+    assert len({v for v in want.values()}) > 50 and any(n is None and v == "block" for n, v in want.values())
+    # pattern rules are filed under their own word, not under the one that all of them share
+    index = urls.rule_index(pages.select("url").where("url IS NOT NULL"), own, words)
+    assert index.count() == 3500 and index.where("token = 'common' OR token = 'net'").count() == 0
+
+
 def brute_fingerprint(t):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     if not w:
@@ -466,6 +494,57 @@ def test_quality_classifier_shrinks(spark):
     assert r[0]["path_prior"] > r[400]["path_prior"] > r[200]["path_prior"]
 
 
+def brute_classify(rows, model):
+    """The posteriors by plain sums over (text, host, path), with the pseudo-counts spelled out."""
+    odds = [float(sites.log_odds(np.array([sites.features((t or "").encode())]), model.mean, model.scale, model.weight)[0]) for t, _, _ in rows]
+    p = [1 / (1 + np.exp(-o)) for o in odds]
+    by_host, by_path = {}, {}
+    for k, (_, h, q) in enumerate(rows):
+        by_host.setdefault(h, []).append(p[k])
+        by_path.setdefault((h, q), []).append(p[k])
+    overall = (sum(p) + model.prior) / (len(p) + 1)
+
+    def pseudo(groups, prior):
+        n, gap, noise = len(p), 0.0, 0.0
+        for key, v in groups.items():
+            gap += len(v) * (np.mean(v) - prior(key)) ** 2
+            noise += sum((x - np.mean(v)) ** 2 for x in v)
+        if len(groups) < 2 or n <= len(groups):
+            return 10.0
+        noise = max(noise / n, 1e-6)
+        return min(max(noise / max((gap - len(groups) * noise) / n, noise / 1e4), 0.5), 1e4)
+
+    k_host = pseudo(by_host, lambda _: overall)
+    k_path = pseudo(by_path, lambda key: np.mean(by_host[key[0]]))
+    out = []
+    for k, (_, h, q) in enumerate(rows):
+        host = (sum(by_host[h]) - p[k] + k_host * overall) / (len(by_host[h]) - 1 + k_host)
+        path = (sum(by_path[h, q]) - p[k] + k_path * host) / (len(by_path[h, q]) - 1 + k_path)
+        shift = np.log(path / (1 - path)) - np.log(overall / (1 - overall))
+        out.append((p[k], host, path, 1 / (1 + np.exp(-(odds[k] + min(max(shift, -3), 3))))))
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_quality_classifier_by_brute_force(spark, monkeypatch, broadcast):
+    """All posteriors, with sites of one document, null hosts and paths, and repeated rows."""
+    monkeypatch.setattr(sites, "BROADCAST_SITES", broadcast)
+    rng = random.Random(12)
+    words = ["word", "##", "a.b", "Title", "x1", "%|", "other\n"]
+    texts = [" ".join(rng.choice(words[: 2 + i % 6]) for _ in range(rng.randint(1, 60))) for i in range(150)] + ["", None]
+    rows = [(t, rng.choice(["a", "b", "b", "c", None]), rng.choice(["p", "q", None])) for t in texts] + [("alone ##", "single", "p")]
+    rows += rows[:5]
+    x = np.array([sites.features((t or "").encode()) for t, _, _ in rows])
+    model = sites.LogisticModel(x, (x[:, 2] < np.median(x[:, 2])).astype(float))
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: r for r in sites.classify(table, model).collect()}
+    want = brute_classify(rows, model)
+    assert len(got) == len(rows)
+    for i, w in enumerate(want):
+        assert (got[i]["evidence"], got[i]["host_prior"], got[i]["path_prior"], got[i]["quality"]) == pytest.approx(w, rel=1e-7, abs=1e-9)
+        assert got[i]["kept"] == (w[3] >= 0.5) or abs(w[3] - 0.5) < 1e-9
+
+
 def brute_decontaminate(docs, items, window=10):
     pattern = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     cut = lambda t: pattern.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
