@@ -284,31 +284,39 @@ def unsharp(px: DataFrame, sigma: float, amount: float) -> DataFrame:
     return px.join(soft, [*KEYS, "x", "y"]).withColumn("v", F.col("v") + amount * (F.col("v") - F.col("soft"))).drop("soft")
 
 
-def clahe(px: DataFrame, clip: float = 2.0, bins: int = 64, cells: int = 2, frame: int = TILE) -> DataFrame:
-    """Contrast-limited adaptive equalization with bilinear blending of cell curves; a tile is a whole frame."""
-
-    def fn(a, y0, x0):
-        h, w = a.shape
-        level = np.clip((np.clip(a, 0, 1) * (bins - 1) + 0.5).astype(int), 0, bins - 1)
-        ys, xs = np.linspace(0, h, cells + 1).astype(int), np.linspace(0, w, cells + 1).astype(int)
-        curve = np.zeros((cells, cells, bins))
-        for i in range(cells):
-            for j in range(cells):
-                part = level[ys[i] : ys[i + 1], xs[j] : xs[j + 1]]
-                hist = np.bincount(part.ravel(), minlength=bins).astype(float)
-                top = max(1.0, clip * part.size / bins)
-                extra = np.maximum(hist - top, 0).sum()
-                hist = np.minimum(hist, top) + extra / bins
-                curve[i, j] = np.cumsum(hist) / max(part.size, 1)
-        cy, cx = (np.arange(h) + 0.5) * cells / h - 0.5, (np.arange(w) + 0.5) * cells / w - 0.5
-        i0, j0 = np.clip(np.floor(cy).astype(int), 0, cells - 1), np.clip(np.floor(cx).astype(int), 0, cells - 1)
-        i1, j1 = np.minimum(i0 + 1, cells - 1), np.minimum(j0 + 1, cells - 1)
-        fy, fx = np.clip(cy - i0, 0, 1)[:, None], np.clip(cx - j0, 0, 1)[None, :]
-        pick = lambda i, j: curve[i[:, None], j[None, :], level]
-        out = (1 - fy) * ((1 - fx) * pick(i0, j0) + fx * pick(i0, j1)) + fy * ((1 - fx) * pick(i1, j0) + fx * pick(i1, j1))
-        return {"v": np.clip(out, 0, 1)}
-
-    return tiled(px, fn, 0, ["v"], frame)
+def clahe(px: DataFrame, clip: float = 2.0, bins: int = 64, cells: int = 2) -> DataFrame:
+    """Contrast-limited adaptive equalization with bilinear blending of cell curves.
+
+    The cells divide a frame of any size. Their histograms are one grouped aggregate;
+    a frame's curves (``cells`` squared times ``bins`` numbers) join its pixels."""
+    ends = px.groupBy(*KEYS).agg(
+        F.min("y").alias("y0"), F.min("x").alias("x0"),
+        (F.max("y") - F.min("y") + 1).alias("h"), (F.max("x") - F.min("x") + 1).alias("w"))
+    inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("v")))
+    level = F.floor(inside * (bins - 1) + 0.5).cast("int")
+    cell = lambda at, size: sum((at >= F.floor(size * k / cells)).cast("int") for k in range(1, cells)) + F.lit(0)
+    y, x = F.col("y") - F.col("y0"), F.col("x") - F.col("x0")
+    named = px.join(ends, KEYS).select(*KEYS, (cell(y, F.col("h")) * cells + cell(x, F.col("w"))).alias("cell"), level.alias("level"))
+    counts = named.groupBy(*KEYS, "cell", "level").agg(F.count("*").alias("n"))
+    found = counts.groupBy(*KEYS, "cell").agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("by"))
+    hist = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.coalesce(F.try_element_at("by", k), F.lit(0)).cast("double"))
+    top = F.greatest(F.lit(1.0), clip * F.col("size") / bins)
+    over = F.aggregate("hist", F.lit(0.0), lambda t, n: t + F.greatest(n - F.col("top"), F.lit(0.0)))
+    flat = F.transform("hist", lambda n: F.least(n, F.col("top")) + F.col("extra") / bins)
+    running = F.aggregate("flat", F.array().cast("array<double>"), lambda t, n: F.array_append(t, F.coalesce(F.try_element_at(t, F.lit(-1)), F.lit(0.0)) + n))
+    found = found.withColumn("hist", hist).withColumn("top", top).withColumn("extra", over).withColumn("flat", flat)
+    found = found.withColumn("curve", F.transform(running, lambda t: t / F.col("size")))
+    curves = found.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("cell", "curve"))).alias("curves"))
+    cy, cx = (y + 0.5) * cells / F.col("h") - 0.5, (x + 0.5) * cells / F.col("w") - 0.5
+    first = lambda at: F.greatest(F.lit(0), F.least(F.lit(cells - 1), F.floor(at).cast("int")))
+    share = lambda at, k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), at - F.col(k)))
+    j = px.join(ends.join(curves, KEYS), KEYS).select(*KEYS, "x", "y", "curves", (level + 1).alias("level"), cy.alias("cy"), cx.alias("cx"))
+    j = j.withColumns({"i": first(F.col("cy")), "j": first(F.col("cx"))}).withColumns({"fy": share(F.col("cy"), "i"), "fx": share(F.col("cx"), "j")})
+    after = lambda k: F.least(F.col(k) + 1, F.lit(cells - 1))
+    pick = lambda i, k: F.coalesce(F.try_element_at(F.try_element_at("curves", (i * cells + k).cast("int")), F.col("level")), F.lit(0.0))
+    row = lambda i: (1 - F.col("fx")) * pick(i, F.col("j")) + F.col("fx") * pick(i, after("j"))
+    v = (1 - F.col("fy")) * row(F.col("i")) + F.col("fy") * row(after("i"))
+    return j.select(*KEYS, "x", "y", F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)).alias("v"))
 
 
 def demosaic_vng(px: DataFrame, pattern: str) -> DataFrame:

@@ -189,3 +189,34 @@ def test_annulus_photometry(spark):
     assert sorted(want) == [1, 2, 3] == sorted(r["id"] for r in got)
     for r in got:
         assert tuple(r)[1:] == pytest.approx(want[r["id"]], rel=1e-9)
+
+
+def brute_clahe(a, clip, bins, cells):
+    """Cell curves and their blend, pixel by pixel."""
+    h, w = a.shape
+    level = (np.clip(a, 0, 1) * (bins - 1) + 0.5).astype(int)
+    ys, xs = [h * k // cells for k in range(cells + 1)], [w * k // cells for k in range(cells + 1)]
+    curve = {}
+    for i in range(cells):
+        for j in range(cells):
+            part = level[ys[i] : ys[i + 1], xs[j] : xs[j + 1]]
+            n = np.array([(part == k).sum() for k in range(bins)], float)
+            top = max(1.0, clip * part.size / bins)
+            curve[i, j] = np.cumsum(np.minimum(n, top) + np.maximum(n - top, 0).sum() / bins) / part.size
+    out = np.zeros((h, w))
+    for y in range(h):
+        for x in range(w):
+            cy, cx = (y + 0.5) * cells / h - 0.5, (x + 0.5) * cells / w - 0.5
+            i, j = max(0, int(np.floor(cy))), max(0, int(np.floor(cx)))
+            fy, fx = max(0.0, cy - i), max(0.0, cx - j)
+            i2, j2 = min(i + 1, cells - 1), min(j + 1, cells - 1)
+            pick = lambda p, q: curve[p, q][level[y, x]]
+            out[y, x] = (1 - fy) * ((1 - fx) * pick(i, j) + fx * pick(i, j2)) + fy * ((1 - fx) * pick(i2, j) + fx * pick(i2, j2))
+    return np.clip(out, 0, 1)
+
+
+@pytest.mark.parametrize("shape, cells", [((20, 24), 2), ((30, 300), 3)])
+def test_clahe_of_any_size(spark, shape, cells):
+    a = np.random.default_rng(5).random(shape) ** 2 * 1.1
+    got = array(kernels.clahe(frame(spark, a), 2.0, 32, cells))
+    assert np.allclose(got, brute_clahe(a, 2.0, 32, cells), atol=1e-9)
