@@ -230,6 +230,7 @@ def test_urls_with_thousands_of_rules(spark, monkeypatch, broadcast):
     data = [f"http://{rng.choice(['', 'www.', 'x'])}h{rng.randrange(900)}.net/{rng.choice(['', 'common-w', 'd'])}{rng.randrange(2500)}/{rng.choice(['', 'z', 'common_w77'])}" for _ in range(400)]
     data += ["http://www.h4.net/d4/" + "common/" * 1_000 + "w3", None]
     pages = spark.createDataFrame(list(enumerate(data)), "page_id long, url string")
+    compiled = [(re.compile(r.pattern), r.verdict) for r in words]
 
     def brute(u):
         host, path = re.match(r"http://([^/]*)(.*)", u, re.S).groups() if u else ("", "")
@@ -237,7 +238,7 @@ def test_urls_with_thousands_of_rules(spark, monkeypatch, broadcast):
         if fits:
             best = max(fits, key=lambda r: (len(r.name), r.name, r.verdict))
             return best.name, best.verdict
-        return None, next((r.verdict for r in words if re.search(r.pattern, u or "")), "allow")
+        return None, next((v for pattern, v in compiled if pattern.search(u or "")), "allow")
 
     got = {r["page_id"]: (r["url_rule"], r["url_verdict"]) for r in urls.judge(pages, site_rules=own, pattern_rules=words).collect()}
     want = {i: brute(u) for i, u in enumerate(data)}
