@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 SOME = """stack_sum stack_weighted depth_median reject_modz reject_sigma norm_addscale weight_fwhm best_reference filter_percent_fwhm stat_noise stat_histogram
 ikss_lite qn_robust_mean autostretch high_range ghs_negative ghs_inverse_asinh saturation_hue selective_colour palette_foraxx nb_normalize_hoo blend_overlay mask_chroma mask_polygon
 pm_funcs pm_images pm_rescale pm_script nearest_one_to_one triangle_votes aperture_flux dedupe_objects curve_interp catalog_topk blackbody wcs_roundtrip sexagesimal header_coerce
-bin3 debayer_bilinear blur cosmetic banding_fix cfa_equalize drizzle dark_scale calibrate event_sessions script_stack asof_events""".split()
+bin3 debayer_bilinear blur cosmetic banding_fix cfa_equalize drizzle dark_scale calibrate event_sessions script_stack asof_events stat_robust_sigma six_repair""".split()
 
 
 def clean(v):
