@@ -139,11 +139,16 @@ def rbf_background_by(img: DataFrame, samples: DataFrame, by: str, smoothing: fl
     return img.groupBy(by).cogroup(points.groupBy("_by")).applyInArrow(run, schema)
 
 
-def affine(pairs: DataFrame) -> np.ndarray:
-    """Least-squares map of (x_a, y_a) to (x_b, y_b): [[a, b, c], [d, e, f]]."""
+def affine(pairs: DataFrame, least: int = 0) -> np.ndarray | None:
+    """Least-squares map of (x_a, y_a) to (x_b, y_b): [[a, b, c], [d, e, f]]; None for fewer
+    than ``least`` pairs. The pairs are made once."""
     t = [F.lit(1.0), F.col("x_a"), F.col("y_a")]
-    sx = solve(normal_equations(pairs, t, F.col("x_b")).first(), 3)
-    sy = solve(normal_equations(pairs, t, F.col("y_b")).first(), 3)
+    lhs = [F.sum(t[i] * t[j]).alias(f"a{i}_{j}") for i in range(3) for j in range(i, 3)]
+    rhs = [F.sum(t[i] * F.col(c)).alias(f"{c}{i}") for c in ("x_b", "y_b") for i in range(3)]
+    sums = pairs.agg(F.count("*").alias("n"), *lhs, *rhs).first().asDict()
+    if sums["n"] < least:
+        return None
+    sx, sy = (solve(sums | {f"b{i}": sums[f"{c}{i}"] for i in range(3)}, 3) for c in ("x_b", "y_b"))
     return np.array([[sx[1], sx[2], sx[0]], [sy[1], sy[2], sy[0]]])
 
 

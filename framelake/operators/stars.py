@@ -110,17 +110,14 @@ def match_catalog(image: DataFrame, catalog: DataFrame, *, stars: int = 20, radi
     best = best.withColumn("k", F.row_number().over(Window.partitionBy("right_id").orderBy(F.desc("votes"), "left_id"))).where("k = 1")
     best = best.orderBy(F.desc("votes"), "left_id").limit(max(3, stars // 2))
     p = best.join(a.toDF("left_id", "x_a", "y_a"), "left_id").join(b.toDF("right_id", "x_b", "y_b"), "right_id")
-    if p.limit(3).count() < 3:
-        return None
-    m = fitting.affine(p)
+    m = fitting.affine(p, 3)
     for k in range(rounds):
+        if m is None:
+            return None
         (a1, a2, a3), (b1, b2, b3) = m.tolist()
-        moved = image.select("id", (a1 * F.col("x") + a2 * F.col("y") + a3).alias("x"), (b1 * F.col("x") + b2 * F.col("y") + b3).alias("y"))
+        moved = image.select("id", (a1 * F.col("x") + a2 * F.col("y") + a3).alias("x"), (b1 * F.col("x") + b2 * F.col("y") + b3).alias("y"), F.struct("x", "y").alias("from"))
         near = spatial.nearest_one_to_one(moved, catalog.select("id", "x", "y"), tolerance / 2**k)
-        pairs = near.select(F.col("id_a").alias("id"), F.col("x_b"), F.col("y_b")).join(image.select("id", F.col("x").alias("x_a"), F.col("y").alias("y_a")), "id")
-        if pairs.limit(3).count() < 3:
-            return None
-        m = fitting.affine(pairs)
+        m = fitting.affine(near.select(F.col("from_a.x").alias("x_a"), F.col("from_a.y").alias("y_a"), "x_b", "y_b"), 3)
     return m
 
 

@@ -121,6 +121,34 @@ def test_spatial_join_is_exact(spark):
     assert len({r["id_a"] for r in pairs}) == len({r["id_b"] for r in pairs}) == len(pairs) > 0
 
 
+def test_nearest_one_to_one_against_loop(spark):
+    """Ties, shared places and empty surroundings, at densities on both sides of the small cells."""
+    rng = np.random.default_rng(11)
+    for scale, n in ((60, 150), (6, 150)):
+        a = [(i, *map(float, rng.integers(-scale, scale, 2) / 2)) for i in range(n)]
+        b = [(500 + i, *map(float, rng.integers(-scale, scale, 2) / 2)) for i in range(n)]
+        da, db = (spark.createDataFrame(t, "id int, x double, y double") for t in (a, b))
+        near = {}
+        for i, x, y in a:
+            best = min(((x - u) ** 2 + (y - v) ** 2, j) for j, u, v in b)
+            if best[0] < 16:
+                near.setdefault(best[1], []).append((best[0], i))
+        want = {(min(v)[1], j, min(v)[0]) for j, v in near.items()}
+        found = spatial.nearest_one_to_one(da, db, 4.0)
+        assert found.columns == ["id_a", "x_a", "y_a", "id_b", "x_b", "y_b", "d2"]
+        rows = found.collect()
+        assert {(r["id_a"], r["id_b"], r["d2"]) for r in rows} == want and len(rows) == len(want)
+        assert all((r["id_a"], r["x_a"], r["y_a"]) in a and (r["id_b"], r["x_b"], r["y_b"]) in b for r in rows)
+
+
+def test_nearest_broadcasts_nothing(spark):
+    """Nine copies of a small file's rows once were broadcast and filled the driver."""
+    a = spark.range(2000).selectExpr("id", "id % 50 * 1.0D AS x", "id DIV 50 * 1.0D AS y")
+    found = spatial.nearest_one_to_one(a, a, 3.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and found.count() == 2000
+
+
 def test_triangles_find_a_shift(spark):
     rng = np.random.default_rng(2)
     a = [(i, *map(float, rng.uniform(0, 1000, 2))) for i in range(14)]
