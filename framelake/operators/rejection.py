@@ -174,6 +174,8 @@ def normal_quantile(p: float) -> float:
     lo, hi = -40.0, 40.0
     for _ in range(200):
         mid = (lo + hi) / 2
+        if mid in (lo, hi):  # neighbours: further steps change nothing
+            break
         if 0.5 * math.erfc(-mid / math.sqrt(2)) < p:
             lo = mid
         else:
@@ -190,34 +192,79 @@ def student_quantile(p: float, dof: float) -> float:
     return z + g1 / dof + g2 / dof**2 + g3 / dof**3
 
 
+def _grubbs_limits(counts: np.ndarray, alpha: float) -> np.ndarray:
+    """Critical values by sample count, up to the greatest of ``counts``; those asked for are filled in."""
+    known = _LIMITS.get(alpha, np.zeros(0))
+    if len(known) <= counts.max(initial=0):
+        known = np.concatenate([known, np.full(int(counts.max(initial=0)) + 1 - len(known), np.nan)])
+    for k in counts[np.isnan(known[counts])]:
+        k = int(k)
+        if k > 2:
+            t = student_quantile(1 - alpha / (2 * k), k - 2)
+            known[k] = (k - 1) * t / math.sqrt((k - 2 + t * t) * k)
+        else:
+            known[k] = np.inf
+    _LIMITS[alpha] = known
+    return known
+
+
+#: Critical values of a worker, by significance.
+_LIMITS: dict[float, np.ndarray] = {}
+
+
+def _from_middle(d: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    """Running sums of each row, zero at its middle: a difference of two takes in no sample
+    outside its range, however large. Summed in extended precision."""
+    sums = np.zeros((len(d), d.shape[1] + 1))
+    for row, m in enumerate(middle):
+        sums[row, m + 1 :] = np.cumsum(d[row, m:], dtype=np.longdouble)
+        sums[row, :m] = -np.cumsum(d[row, :m][::-1], dtype=np.longdouble)[::-1]
+    return sums
+
+
 def gesd(x, keep, fraction=0.3, alpha=0.05):
-    """Generalized extreme studentized deviate test for at most ``fraction`` of the samples."""
-    most = int(np.floor(x.shape[1] * fraction))
-    work = keep.copy()
-    removed, significant = [], []
-    n0 = keep.sum(axis=1)
-    for i in range(most):
-        n = work.sum(axis=1)
-        live = (n > 3) & (i < np.floor(n0 * fraction))
-        mean = np.where(work, x, 0).sum(axis=1) / np.maximum(n, 1)
-        spread = _deviation(x, work)
-        gap = np.where(work, np.abs(x - mean[:, None]), -1.0)
-        worst = gap.argmax(axis=1)
-        g = gap[np.arange(len(x)), worst] / np.where(spread > 0, spread, np.inf)
-        limits = {}
-        for k in np.unique(n):
-            if k > 2:
-                t = student_quantile(1 - alpha / (2 * k), k - 2)
-                limits[int(k)] = (k - 1) * t / math.sqrt((k - 2 + t * t) * k)
-        limit = np.array([limits.get(int(k), np.inf) for k in n])
-        removed.append(worst)
-        significant.append(live & (g > limit))
-        work[np.arange(len(x))[live], worst[live]] = False
+    """Generalized extreme studentized deviate test for at most ``fraction`` of the samples.
+
+    The sample farthest from the mean is the least or the greatest that is left, so
+    samples are sorted once and a step moves one of two ends; sums of what is left are
+    differences of running sums. Of equally far ones the first sample goes. Samples that
+    are not finite go first."""
+    good = keep & np.isfinite(x)
+    n0, n = keep.sum(axis=1), good.sum(axis=1)
+    most = np.floor(n0 * fraction).astype(int)
+    up = np.argsort(np.where(good, x, np.inf), axis=1, kind="stable")
+    down = np.argsort(np.where(good, -x, np.inf), axis=1, kind="stable")
+    s = np.take_along_axis(x, up, axis=1)
+    rows, middle = np.arange(len(x)), n // 2
+    centre = s[rows, np.minimum(middle, s.shape[1] - 1)]
+    d = np.where(np.arange(s.shape[1]) < n[:, None], s - np.where(n > 0, centre, 0)[:, None], 0)
+    first, second = _from_middle(d, middle), _from_middle(d * d, middle)
+    wanted = np.zeros(int(n.max(initial=0)) + 1, bool)
+    for k, b in set(zip(n.tolist(), most.tolist())):
+        wanted[max(k - b, 0) : k + 1] = True
+    limits = _grubbs_limits(np.flatnonzero(wanted), alpha)
+    low, high = np.zeros(len(x), int), n.copy()  # the samples left
+    cut_low, cut_high, lost = low.copy(), high.copy(), np.zeros(len(x), bool)
+    live = np.flatnonzero((n > 3) & (n0 - n < most))
+    while len(live):
+        a, b = low[live], high[live]
+        k = b - a
+        total = first[live, b] - first[live, a]
+        mean = total / k
+        spread = np.sqrt(np.maximum(second[live, b] - second[live, a] - total * mean, 0) / (k - 1))
+        below, above = mean - d[live, a], d[live, b - 1] - mean
+        top = (above > below) | ((above == below) & (down[live, n[live] - b] < up[live, a]))
+        g = np.where(top, above, below) / np.where(spread > 0, spread, np.inf)
+        high[live] = b = b - top
+        low[live] = a = a + ~top
+        far = live[g > limits[k]]
+        cut_low[far], cut_high[far], lost[far] = low[far], high[far], True
+        live = live[(b - a > 3) & (n0[live] - (b - a) < most[live])]
     out = keep.copy()
-    for row in range(len(x)):
-        last = max((i + 1 for i in range(most) if significant[i][row]), default=0)
-        for i in range(last):
-            out[row, removed[i][row]] = False
+    for row in np.flatnonzero(lost):
+        out[row] &= good[row]
+        out[row, up[row, : cut_low[row]]] = False
+        out[row, down[row, : n[row] - cut_high[row]]] = False
     return x, out
 
 
@@ -256,6 +303,29 @@ def apply_kernel(samples: list[np.ndarray], rule: str, **options) -> tuple[list[
     return [values[i, : len(s)] for i, s in enumerate(samples)], [kept[i, : len(s)] for i, s in enumerate(samples)]
 
 
+#: Samples, padding included, of the pixels that are worked on at once, if not of one pixel.
+PART = 1 << 21
+
+
+def _parts(column: pa.Array, linked: bool) -> Iterator[tuple[int, int]]:
+    """Ranges of at most 1024 rows whose matrix of samples stays below ``PART``."""
+    start, depth, wide = 0, 0, 0
+    for i, row in enumerate(column):
+        sizes = [len(ch) for ch in row.values] if linked else [len(row.values)]
+        deepest, n = max(depth, *sizes, 0), wide + len(sizes)
+        if i > start and (i - start == 1024 or deepest * n > PART):
+            yield start, i
+            start, deepest, n = i, max([0, *sizes]), len(sizes)
+        depth, wide = deepest, n
+    if len(column):
+        yield start, len(column)
+
+
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays), kind))
+
+
 def reject(df: DataFrame, rule: str, keys: list[str], *, values: str = "values", linked: bool = False, **options) -> DataFrame:
     """``keys, values, kept``: the rule over ``values`` (array<double>, no nulls) of each row.
 
@@ -265,10 +335,11 @@ def reject(df: DataFrame, rule: str, keys: list[str], *, values: str = "values",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 1024):
-                part = batch.slice(start, 1024)
-                rows = part.column(len(keys)).to_pylist()
+            for start, stop in _parts(batch.column(len(keys)), linked):
+                part = batch.slice(start, stop - start)
+                column = part.column(len(keys))
                 if linked:
+                    rows = column.to_pylist()
                     flat = [np.array(ch, float) for row in rows for ch in row]
                     new, kept = apply_kernel(flat, rule, **options)
                     out_v, out_k, at = [], [], 0
@@ -277,14 +348,11 @@ def reject(df: DataFrame, rule: str, keys: list[str], *, values: str = "values",
                         out_v.append([v.tolist() for v in new[at : at + n]])
                         out_k.append(np.logical_and.reduce(kept[at : at + n]).tolist() if n else [])
                         at += n
-                    kind = pa.list_(pa.list_(pa.float64()))
+                    done = pa.array(out_v, pa.list_(pa.list_(pa.float64()))), pa.array(out_k, pa.list_(pa.bool_()))
                 else:
-                    new, kept = apply_kernel([np.array(r, float) for r in rows], rule, **options)
-                    out_v, out_k, kind = [v.tolist() for v in new], [k.tolist() for k in kept], pa.list_(pa.float64())
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(keys)], pa.array(out_v, kind), pa.array(out_k, pa.list_(pa.bool_()))],
-                    [*keys, "values", "kept"],
-                )
+                    new, kept = apply_kernel([v.values.to_numpy(zero_copy_only=False).astype(float) for v in column], rule, **options)
+                    done = _lists(new, pa.float64()), _lists(kept, pa.bool_())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *done], [*keys, "values", "kept"])
 
     chosen = df.select(*keys, values)
     types = ", ".join(f"{k} {chosen.schema[k].dataType.simpleString()}" for k in keys)

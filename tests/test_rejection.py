@@ -66,6 +66,63 @@ def test_ragged_is_each_alone():
             assert np.allclose(v[0], together[0][k]) and (kept[0] == together[1][k]).all(), rule
 
 
+def plain_gesd(values, fraction=0.3, alpha=0.05):
+    """One sample after the other, each pass over all that are left."""
+    left, removed, last = list(range(len(values))), [], 0
+    for i in range(int(np.floor(len(values) * fraction))):
+        k = len(left)
+        if k <= 3:
+            break
+        now = np.array([values[j] for j in left])
+        gap, spread = np.abs(now - now.mean()), now.std(ddof=1)
+        t = rejection.student_quantile(1 - alpha / (2 * k), k - 2)
+        worst = int(gap.argmax())
+        if spread > 0 and gap[worst] / spread > (k - 1) * t / np.sqrt((k - 2 + t * t) * k):
+            last = i + 1
+        removed.append(left.pop(worst))
+    return sorted(removed[:last])
+
+
+def test_gesd_against_loop():
+    rng = np.random.default_rng(9)
+    samples = []
+    for k in range(60):
+        v = rng.normal(0, 1, int(rng.integers(3, 70)))
+        v[rng.random(len(v)) < 0.15] *= 10.0 ** rng.integers(1, 9)
+        samples.append(np.round(v * 2) / 2 if k % 3 == 0 else v)
+    _, kept = rejection.apply_kernel(samples, "gesd")
+    found = [np.flatnonzero(~k).tolist() for k in kept]
+    assert found == [plain_gesd(v.tolist()) for v in samples] and sum(map(bool, found)) > 20
+
+
+def test_gesd_of_deep_samples():
+    """Thousands of candidates: a step must not go over all samples again."""
+    import time
+
+    rng = np.random.default_rng(10)
+    samples = [rng.normal(0, 1, 30_000) for _ in range(4)]
+    for v in samples:
+        v[::100] = 50.0 + np.arange(300)
+    start = time.process_time()
+    _, kept = rejection.apply_kernel(samples, "gesd")
+    assert all(not k[::100].any() and k.sum() >= 29_690 for k in kept) and time.process_time() - start < 10
+
+
+def test_deep_and_shallow_pixels_in_parts(spark, monkeypatch):
+    """Rows are cut into parts by their samples; each pixel's result stays its own."""
+    import pyarrow as pa
+
+    column = pa.array([[0.0] * n for n in (5, 1, 0, 9, 2, 2, 2, 30, 1)], pa.list_(pa.float64()))
+    monkeypatch.setattr(rejection, "PART", 12)
+    cuts = list(rejection._parts(column, False))
+    assert [i for a, b in cuts for i in range(a, b)] == list(range(9))
+    assert all(b - a == 1 or max(len(r) for r in column[a:b].to_pylist()) * (b - a) <= 12 for a, b in cuts)
+    rows = [(0, OUTLIER), (1, [1.0] * 40 + OUTLIER), (2, []), (3, [0.5])]
+    got = {r["k"]: r for r in rejection.reject(spark.createDataFrame(rows, "k int, values array<double>"), "gesd", ["k"]).collect()}
+    for k, v in rows:
+        assert got[k]["values"] == v and got[k]["kept"] == [i not in plain_gesd(v) for i in range(len(v))]
+
+
 def test_gesd_quantiles():
     assert rejection.normal_quantile(0.975) == pytest.approx(1.959964, abs=1e-5)
     assert rejection.student_quantile(0.975, 30) == pytest.approx(2.042272, abs=2e-4)
