@@ -19,8 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard similarity 0.8."""
-    return simhash.keep_one(docs, width=5, similarity=0.8)
+    """One document of each group of near copies stays: SimHash links by covering masks, and min-hash
+    bands beyond their radius, confirmed by five-word shingles at Jaccard similarity 0.8."""
+    return simhash.keep_one(docs, width=5, radius=2, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Near copies by the exact Jaccard similarity of word shingles.
 
-Texts with the same set of shingles are one class. Candidates come from min-hash
-bands: a band is ``ROWS`` least hashes of the set, and two sets of similarity s
+Texts with the same set of shingles are one class. Candidates are classes whose
+fingerprints the covering masks link (``simhash.print_links``); for those that differ in
+more bits than the masks' radius, min-hash bands: a band is ``ROWS`` least hashes of the set, and two sets of similarity s
 share one of ``BANDS`` bands with probability 1 - (1 - s^ROWS)^BANDS, 0.99998 at
-0.8. Classes that bands connect are a loose group; all links lie inside such groups,
+0.8. Classes that either connects are a loose group; all links lie inside such groups,
 so every class is sent with its whole set to the tasks of its group only.
 
 There, links are decided by the sets alone. A group of more than ``BLOCK`` shingles
@@ -14,7 +15,7 @@ its group. No group and no band is cut short. Shingles and sets are told apart b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,12 +70,14 @@ def _keys(sets: list[np.ndarray]) -> pa.Array:
     return pa.array(np.array([set_key(s) for s in sets], np.uint64).view(np.int64))
 
 
-def _prints(width: int):
+def _prints(width: int, fingerprint: Callable[[str | None], int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
+            texts = batch.column(1).to_pylist()
+            sets = [shingle_set(t, width) for t in texts]
             n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), _keys(sets), n, _lists([bands(s) for s in sets])], ["doc_id", "fp", "n", "bands"])
+            prints = pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _keys(sets), n, _lists([bands(s) for s in sets]), prints], ["doc_id", "fp", "n", "bands", "print"])
 
     return run
 
@@ -125,19 +128,21 @@ def _confirmed(similarity: float):
     return run
 
 
-def _loose(classes: DataFrame) -> DataFrame:
-    """``fp, root``: the classes that share bands with others, and their groups."""
+def _loose(classes: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """``fp, root``: the classes that share bands with others or are linked by ``near``
+    (``a, b``), and their groups."""
     keyed = classes.select("fp", F.explode("bands").alias("key"))
     least = keyed.groupBy("key").agg(F.min("fp").alias("b"), F.count("*").alias("k")).where("k > 1")
     stars = keyed.join(least, "key").where("fp != b").select(F.col("fp").alias("a"), "b")
-    found = connected_components(stars)
+    found = connected_components(stars if near is None else stars.unionByName(near))
     return found.select(F.col("node").alias("fp"), "root").unionByName(found.select(F.col("root").alias("fp"), "root").distinct())
 
 
-def links(docs: DataFrame, classes: DataFrame, width: int, similarity: float, block: int = BLOCK) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, width: int, similarity: float, block: int = BLOCK, near: DataFrame | None = None) -> DataFrame:
     """``a, b``: classes (``fp, rep, n, bands``) of ``docs`` (``doc_id, text``) whose sets
-    reach the similarity; enough to connect all that are connected."""
-    members = staged(_loose(classes).join(classes.select("fp", "rep", "n"), "fp"), "near-groups")
+    reach the similarity; enough to connect all that are connected. Candidates share
+    bands or are linked by ``near`` (``a, b``)."""
+    members = staged(_loose(classes, near).join(classes.select("fp", "rep", "n"), "fp"), "near-groups")
     blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks")).where("blocks > 1")
     dealt = members.join(F.broadcast(blocks), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
@@ -151,14 +156,19 @@ def links(docs: DataFrame, classes: DataFrame, width: int, similarity: float, bl
     return dealt.join(sets, "fp").groupBy("root", "p", "q").applyInArrow(_confirmed(similarity), "a long, b long")
 
 
-def near_copies(docs: DataFrame, *, doc_id: str, text: str, width: int, similarity: float) -> DataFrame:
+def near_copies(
+    docs: DataFrame, *, doc_id: str, text: str, width: int, similarity: float,
+    fingerprint: Callable[[str | None], int], print_links: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs``; see ``simhash.near_duplicates``."""
     small_batches(docs.sparkSession)
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    prints = staged(chosen.mapInArrow(_prints(width), "doc_id long, fp long, n long, bands array<long>"), "shingle-prints")
+    prints = chosen.mapInArrow(_prints(width, fingerprint), "doc_id long, fp long, n long, bands array<long>, print long")
+    prints = staged(prints, "shingle-prints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = staged(classes, "classes")
-    roots = connected_components(links(chosen, classes.where("rep is not null"), width, similarity))
+    near = print_links(prints.where("doc_id is not null AND n > 0").select("print", "fp"))
+    roots = connected_components(links(chosen, classes.where("rep is not null"), width, similarity, near=near))
     named = classes.select("fp", "rep").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     named = staged(named.select("fp", "rep", F.coalesce("root", "fp").alias("root")), "near-roots")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))

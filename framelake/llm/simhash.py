@@ -13,9 +13,10 @@ about halves the bits that are left free, so buckets shrink to a bounded number
 of distinct values. No bucket is cut short. Only links that connect a bucket's
 members leave it, fewer than it has members.
 
-Fingerprints are those of word shingles (the contract of the query). The pipeline's
-near-dedup at a given similarity is decided by the shingles themselves, see
-``shingles``; the sketches of ``word_fingerprint`` no longer decide anything there.
+Fingerprints are those of word shingles (the contract of the query). In the pipeline's
+near-dedup at a given similarity the links of these fingerprints are candidates, beside
+min-hash bands for what differs in more bits than the radius; the shingles themselves
+decide, see ``shingles``. The sketches of ``word_fingerprint`` decide nothing there.
 """
 
 from __future__ import annotations
@@ -171,6 +172,17 @@ def links(classes: DataFrame, radius: int, bucket: int = BUCKET, sketch_bits: in
     return found
 
 
+def print_links(prints: DataFrame, radius: int) -> DataFrame:
+    """``a, b``: values of ``fp`` that ``prints`` (``print, fp``) has with fingerprints of at most
+    ``radius`` differing bits; enough to connect all that are connected."""
+    own = prints.distinct()
+    first = staged(own.groupBy("print").agg(F.min("fp").alias("rep")), "print-classes")
+    # one way to join at every size: fingerprints grow with the documents
+    same = own.join(first.hint("merge"), "print").where("fp != rep").select(F.col("fp").alias("a"), F.col("rep").alias("b"))
+    none = F.lit(0).cast("long")
+    return links(first.select(F.col("print").alias("fp"), "rep", none.alias("s0"), none.alias("s1")), radius).unionByName(same)
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -185,13 +197,17 @@ def near_duplicates(
     Documents link when their fingerprints differ in ``radius`` bits at most;
     ``component_id`` is the smallest id reachable. With ``similarity``, documents
     link when the Jaccard similarity of their distinct ``width``-word shingles
-    reaches it (``shingles.near_copies``): ``fp`` tells sets of shingles apart and
-    ``radius`` has no part. Null and empty texts are one fingerprint and link like
+    reaches it (``shingles.near_copies``): ``fp`` tells sets of shingles apart, and
+    those whose three-word fingerprints lie within the radius are candidates, as are
+    those that share min-hash bands. Null and empty texts are one fingerprint and link like
     others; repeated rows come out as often as they go in; a row without an id
     keeps the component of its fingerprint.
     """
     if similarity is not None:
-        return near_copies(docs, doc_id=doc_id, text=text, width=width, similarity=similarity)
+        return near_copies(
+            docs, doc_id=doc_id, text=text, width=width, similarity=similarity,
+            fingerprint=fingerprint, print_links=lambda prints: print_links(prints, radius),
+        )
     prints = staged(fingerprints(docs, doc_id=doc_id, text=text, width=width), "fingerprints")
     return component_ids(prints, radius)
 

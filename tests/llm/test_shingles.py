@@ -70,3 +70,35 @@ def test_groups_in_blocks(spark):
         low, high = sorted((root[names[r["a"]]], root[names[r["b"]]]))
         root = {k: low if x == high else x for k, x in root.items()}
     assert root == brute(texts)
+
+
+def test_fingerprints_propose_candidates(spark, monkeypatch):
+    """Without any band, what lies within the fingerprints' radius is still found and confirmed,
+    and equal fingerprints of other shingles are not."""
+    rng = random.Random(12)
+    words = [sentence(rng, 400).split() for _ in range(6)]
+    texts = {}
+    for i, w in enumerate(words):
+        texts[2 * i] = " ".join(w)
+        texts[2 * i + 1] = " ".join([*w[:-1], "changed"])
+    # a passage that is there often has the votes, whatever follows it
+    texts[20], texts[21] = " ".join(words[0][:31] * 60), " ".join(words[0][:31] * 60 + words[1])
+    texts[30], texts[31] = "", None
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    prints = {i: simhash.fingerprint(t) for i, t in texts.items()}
+    near = [i for i in range(0, 12, 2) if (prints[i] ^ prints[i + 1]).bit_count() <= 2]
+    assert len(near) >= 3 and (prints[20] ^ prints[21]).bit_count() <= 2
+    monkeypatch.setattr(shingles, "bands", lambda found: found[:0])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, width=5, radius=2, similarity=0.8).collect()}
+    assert got == {i: i - 1 if i - 1 in near else 30 if i == 31 else i for i in texts}
+
+
+def test_print_links_join_all_sets(spark):
+    """Sets with one fingerprint, and with fingerprints two bits apart, are connected; others are not."""
+    rows = [(0b0000, 1), (0b0000, 2), (0b0011, 3), (0b1111, 4), (0b0000, 1), (-1, 5), (-1, 6), (0b1111 << 20, 7), (0b0011, 6)]
+    found = simhash.print_links(spark.createDataFrame(rows, "print long, fp long"), 2).collect()
+    root = {i: i for i in range(1, 8)}
+    for r in found:
+        low, high = sorted((root[r["a"]], root[r["b"]]))
+        root = {k: low if v == high else v for k, v in root.items()}
+    assert root == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 7}
